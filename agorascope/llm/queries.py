@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, token_count
+from . import line_dedup, ngram_join, packing, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op5_ngram_join, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
