@@ -249,3 +249,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         component.eqNullSafe(F.col("id")).alias("kept"),
         F.lower(F.hex("digest")).alias("set_digest"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents but one of each group of near duplicates: the one with the smallest id, of equal ids any one row."""
+    steps = Steps(docs.sparkSession, "ngram-keep")
+    rows = steps.save(docs.withColumn("__nj_row", F.monotonically_increasing_id()))
+    name = F.struct(F.col(id).alias("id"), F.col("__nj_row").alias("row"))
+    found = near_duplicates(rows.select(name.alias("name"), F.col(text).alias("text")), "name", "text", **options)
+    kept = found.where("kept").select(F.col("name.row").alias("__nj_row"))
+    return rows.join(kept, "__nj_row", "left_semi").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join, packing, token_count
+from . import line_dedup, ngram_join, packing, quality, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carries no text: id, weight, key and whether the document is selected."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.resample(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op5_ngram_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op5_ngram_join, op7_importance_resampling, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
