@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,39 @@ class Steps:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def kept(key: tuple, make):
+    """What ``make`` returns, kept in a worker for its later tasks; only that of the last key, so memory stays bounded."""
+    held = sys.__dict__.setdefault("_agorascope_kept", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
+class Memo:
+    """A dict of bounded size in two generations: what the older one holds is found, and kept if found."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def find(self, keys: set, make) -> dict:
+        """A dict that holds at least ``keys``; ``make`` gets the list of unknown ones and returns their values."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = []
+        for k in keys:
+            if k not in new:
+                got = old.get(k)
+                if got is None:
+                    missing.append(k)
+                else:
+                    new[k] = got
+        if missing:
+            new.update(zip(missing, make(missing)))
+        return new
+
+
 def row_key(*cols: str) -> Column:
     """128 bits that name a row by its values; null and empty differ."""
     parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string"))) for c in cols]

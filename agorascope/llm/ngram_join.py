@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, blocked, components, groups, local_roots
+from .common import Memo, Steps, blocked, components, groups, kept, local_roots
 
 HASHES, ROWS, STEP = 96, 4, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -44,8 +44,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Hashed word n-grams; words repeat, so their hashes are kept in a memo of bounded size."""
 
-    def __init__(self, words: int, memo: int = 300_000):
-        self.words, self.memo, self.most = words, {}, memo
+    def __init__(self, words: int, memo: int = 400_000):
+        self.words, self.memo = words, Memo(memo)
         rng = np.random.default_rng(20240229)
         self.key = rng.integers(0, 2**63, (HASHES, 1), dtype=np.uint64)
         self.odd = rng.integers(0, 2**63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,13 +55,8 @@ class Shingler:
         words = (text or "").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter((memo[w] for w in words), np.uint64, len(words))
+        known = self.memo.find(set(words), lambda new: [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new])
+        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
         k = min(self.words, len(words))
         out = np.full(len(words) - k + 1, k, np.uint64)
         for i in range(k):
@@ -195,7 +190,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     least = least_matches(threshold, tolerance)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = kept(("shingler", words), lambda: Shingler(words))
         for batch in batches:
             sets = [shingler.grams(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -218,7 +213,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     parts = steps.save(parts.unionByName(parts.select("root").distinct().select(F.col("root").alias("node"), "root")))
 
     def regather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = kept(("shingler", words), lambda: Shingler(words))
         for batch in batches:
             sets = [shingler.grams(x) for x in batch.column(0).to_pylist()]
             same = [i for i, (x, d) in enumerate(zip(sets, batch.column(1).to_pylist())) if digest(x) == d]

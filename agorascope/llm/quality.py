@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Steps
+from .common import Memo, Steps, kept
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -39,18 +39,17 @@ ADDED = ("log_weight", "gumbel_key", "selected")
 class Grams:
     """Buckets of a text's n-grams. Parts between blanks repeat: their hashes are kept in a memo of bounded size."""
 
-    def __init__(self, buckets: int, memo: int = 300_000):
-        self.buckets, self.memo, self.most = np.uint64(buckets), {}, memo
+    def __init__(self, buckets: int, memo: int = 400_000):
+        self.buckets, self.memo = np.uint64(buckets), Memo(memo)
+
+    @staticmethod
+    def hashes(parts: list[str]) -> list[bytes]:
+        return [np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in TOKEN.findall(p)], "<u8").tobytes() for p in parts]
 
     def of(self, text: str | None) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
         parts = (text or "").lower().split()
-        for p in set(parts):
-            if p not in memo:
-                memo[p] = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in TOKEN.findall(p)], "<u8").tobytes()
-        h = np.frombuffer(b"".join([memo[p] for p in parts]), "<u8")
+        known = self.memo.find(set(parts), self.hashes)
+        h = np.frombuffer(b"".join([known[p] for p in parts]), "<u8")
         if not len(h):
             return np.empty(0, np.int64)
         again = np.zeros(len(h), bool)
@@ -90,7 +89,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets:
     target = {r["doc_id"] for r in good.collect()}  # at most ``sample`` ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(buckets)
+        grams = kept(("grams", buckets), lambda: Grams(buckets))
         both = np.zeros((2, buckets), np.int64)
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -122,7 +121,7 @@ def resample(
     at_id, at_text = docs.columns.index(id), docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(buckets)
+        grams = kept(("grams", buckets), lambda: Grams(buckets))
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             weight = np.array([ratio[grams.of(t)].sum() for t in texts], np.float64)

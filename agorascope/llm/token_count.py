@@ -26,6 +26,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import kept
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -110,7 +112,7 @@ def token_counts(docs: DataFrame, vocab_path: str, id: str = "doc_id", text: str
     """(id, n_tokens long, score double) for each row; vocab_path must be readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram.from_file(vocab_path, byte_fallback=byte_fallback)
+        model = kept(("unigram", vocab_path, byte_fallback), lambda: Unigram.from_file(vocab_path, byte_fallback=byte_fallback))
         for batch in batches:
             got = [model.count(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64())], [id, "n_tokens", "score"])
