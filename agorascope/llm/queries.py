@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join, packing, pii, quality, token_count
+from . import embed_dedup, line_dedup, ngram_join, packing, pii, quality, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(embeddings(spark, sf_dir))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -46,7 +54,7 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op4_personal_data, op5_ngram_join, op7_importance_resampling, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op7_importance_resampling, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
