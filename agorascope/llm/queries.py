@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, embed_dedup, line_dedup, ngram_join, packing, pii, quality, token_count, toxicity
+from . import ann_forest, embed_dedup, line_dedup, merge_dropout, ngram_join, packing, pii, quality, token_count, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -63,7 +67,7 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op6_nearest_neighbours, op7_importance_resampling, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op6_nearest_neighbours, op7_importance_resampling, op8_merge_dropout, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
