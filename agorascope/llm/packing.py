@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps
+from .common import Memo, Steps, kept
 
 SALTS = 64
 
@@ -42,38 +42,44 @@ class ChunkedEncoder:
     """Ids of whole texts, by parts between blanks and line ends.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its parts; parts repeat,
-    and a memo of bounded size holds their ids as little-endian bytes.
+    and a memo of bounded size holds their ids as little-endian bytes. A part that is a word and a full stop or comma
+    has the ids of both, since the tokenizer parts letters from signs; it also lower-cases.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.most = memo
+        self.parts, self.plain = Memo(memo), Memo(memo)
+        self.signs = dict(zip(".,", self.tokenized([".", ","])))
+
+    def tokenized(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 5000):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
+        return out
+
+    def split(self, parts: list[str]) -> list[bytes]:
+        cut = [(p[:-1], p[-1]) if p[-1:] in self.signs and p[:-1].isalpha() else (p, "") for p in parts]
+        cut = [(w.lower() if w.isascii() and w.isalpha() else w, s) for w, s in cut]
+        known = self.plain.find({w for w, _ in cut}, self.tokenized)
+        return [known[w] + self.signs[s] if s else known[w] for w, s in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        new = list({p for x in parts for p in x if p not in memo})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([memo[p] for p in x]) for x in parts]
+        known = self.parts.find({p for x in parts for p in x}, self.split)
+        return [b"".join([known[p] for p in x]) for x in parts]
 
 
 def pieces(docs: DataFrame, vocab_path: str, capacity: int, id: str, text: str, end_id: int) -> DataFrame:
     """(id, piece, start, length, ids_crc32)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkedEncoder(vocab_path)
+        encoder = kept(("encoder", vocab_path), lambda: ChunkedEncoder(vocab_path))
         end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 names = batch.column(0)
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
