@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of emoticons, and syllables after which a line end closes a sentence.
 EMOTICON = "ㅎㅋㄷㅠㅜ^"
@@ -66,6 +67,6 @@ def split_sentences(text: str | None, parenthesised: bool = True) -> list[str]:
     return [t[a:b].strip() for a, b in zip(starts, starts[1:]) if a < b]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(split_sentences)
