@@ -1,51 +1,17 @@
-"""What the training-data operators share: written steps, blocked groups, connected components."""
+"""What the training-data operators share: workers' memos, row keys, blocked groups."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.steps import Steps, components
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset (tests, local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="agorascope-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-class Steps:
-    """Tables written under the shared checkpoint folder, so that a lost executor costs no lineage.
-
-    A step's name is unique within one call; ``drop`` frees a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._step_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_step_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["Memo", "Steps", "blocked", "components", "groups", "kept", "local_roots", "row_key", "shuffle_partitions"]
 
 
 def kept(key: tuple, make):
@@ -91,29 +57,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(steps: Steps, edges: DataFrame) -> DataFrame:
-    """Connected components of edges(a, b): one row (node, root) for each node that is not its component's smallest.
-
-    Alternating large-star and small-star rounds; each round is written, and the loop ends when the edges are stars.
-    Nothing is collected but two counts a round. Edges of a node to itself are ignored.
-    """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = steps.save(e)
-    while True:
-        found = e.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n"))
-        many = found.where("n > 1").limit(1).count()
-        if not many and not e.join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").limit(1).count():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = steps.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        steps.drop(e)
-        e = after
-
-
 def blocked(rows: DataFrame, keys: list[str], name: str, block: int) -> DataFrame:
     """Deals each group of ``keys`` into tasks (bi, bj) that compare two blocks of at most about ``block`` rows.
 
