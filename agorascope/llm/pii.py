@@ -120,18 +120,21 @@ def length_class(c: Column) -> Column:
 
 
 def estimate(cells: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> list[float]:
-    """EM over (votes, number): for each cell the posterior that its candidates are secrets."""
+    """EM over (votes, number): for each cell the posterior that its candidates are secrets. A labeler's reliability is
+    that of the votes it casts; not to vote is no evidence. A weak prior holds labelers for rather right than wrong."""
     # to begin with, the sum of votes
     post = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v - 1 for v in vote))) for vote, _ in cells]
     for _ in range(rounds):
         mass = [1e-9 + sum((p if y else 1 - p) * n for p, (_, n) in zip(post, cells)) for y in (0, 1)]
         rates = []
         for k in range(len(LABELERS)):
-            rates.append([[(0.5 + sum((p if y else 1 - p) * n for p, (vote, n) in zip(post, cells) if vote[k] == v)) / (1.5 + mass[y]) for v in range(3)] for y in (0, 1)])
+            cast = [[sum((p if y else 1 - p) * n for p, (vote, n) in zip(post, cells) if vote[k] == v) for v in (0, 2)] for y in (0, 1)]
+            # as if each labeler had been seen right eight times of ten
+            rates.append([{v: ((8 if (v == 2) == bool(y) else 2) + c) / (10 + sum(own)) for v, c in zip((0, 2), own)} for y, own in enumerate(cast)])
         prior = (mass[1] + 1) / (mass[0] + mass[1] + 2)
         post = []
         for vote, _ in cells:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(vote))
+            odds = math.log(prior / (1 - prior)) + sum(math.log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(vote) if v != 1)
             post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return post
 

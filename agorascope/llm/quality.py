@@ -4,7 +4,8 @@ Both are bag models of hashed n-grams: words and runs of signs of the lower-case
 ``buckets`` buckets; a word that repeats the one before it is written as a fixed sign, so that stuttering text has an
 n-gram of its own. The raw model counts every document, the target model those of at most ``sample`` good labelled
 documents (the least by a hash of their id; the bound is this parameter). A document's log weight is the sum of its
-n-grams' log ratios. Documents are sampled without replacement by Gumbel top-k: a keyed draw is added to each log
+n-grams' log ratios; beyond ``length`` n-grams it is their mean times ``length``, since a long text's n-grams are no
+independent evidence and small errors of the model would add up. Documents are sampled without replacement by Gumbel top-k: a keyed draw is added to each log
 weight and the k greatest are selected. Unless given, k is the number of documents with a log weight of at least
 ``floor``.
 
@@ -112,7 +113,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None, floor: float = -5.0, buckets: int = 10_000, sample: int = 20_000, seed: int = 1
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None, floor: float = -5.0, buckets: int = 10_000, sample: int = 20_000, length: int = 64, seed: int = 1
 ) -> DataFrame:
     """The documents with log_weight double, gumbel_key double, selected boolean; labels: (doc_id, quality)."""
     steps = Steps(docs.sparkSession, "quality")
@@ -124,7 +125,8 @@ def resample(
         grams = kept(("grams", buckets), lambda: Grams(buckets))
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
-            weight = np.array([ratio[grams.of(t)].sum() for t in texts], np.float64)
+            found = [grams.of(t) for t in texts]
+            weight = np.array([ratio[g].sum() * min(1.0, length / max(1, len(g))) for g in found], np.float64)
             drawn = np.array([xxhash.xxh64_intdigest(f"{name}\0{t}".encode("utf-8", "surrogatepass"), seed) for name, t in zip(batch.column(at_id).to_pylist(), texts)], np.uint64)
             uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
             key = weight - np.log(-np.log(uniform))
