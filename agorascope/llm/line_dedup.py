@@ -70,13 +70,9 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     gone = places.join(repeated, ["__ld_x", "__ld_m"]).where(F.col("__ld_here") != F.col("__ld_first"))
     gone = gone.groupBy("__ld_key").agg(F.array_sort(F.collect_set("__ld_pos")).alias("__ld_gone"))
     out = with_chunks(base.join(gone, "__ld_key", "left"), text, window, divisor)
-    # one flag a chunk, so that looking one up does not search the list
-    marks = F.aggregate(
-        F.coalesce(F.col("__ld_gone"), F.array().cast("array<int>")),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("s")),
-        lambda a, p: F.struct((p + 1).alias("at"), F.concat(a["s"], F.repeat(F.lit("."), p - a["at"]), F.lit("x")).alias("s")),
-        lambda a: a["s"],
-    )
+    # one sign a chunk, so that looking one up does not search the list
+    gap = lambda p, i: p - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("__ld_gone"), i - 1)) - 1
+    marks = F.array_join(F.transform("__ld_gone", lambda p, i: F.concat(F.repeat(F.lit("."), gap(p, i)), F.lit("x"))), "")
     out = out.withColumn("__ld_marks", F.when(F.col("__ld_gone").isNull(), F.lit("")).otherwise(marks))
     starts = F.transform("__ld_ends", lambda end, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__ld_ends"), i - 1) + 1).alias("s"), end.alias("e"), i.alias("i")))
     kept = F.filter(starts, lambda c: F.col("__ld_marks").substr(c["i"] + 1, F.lit(1)) != "x")

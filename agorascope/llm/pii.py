@@ -48,15 +48,28 @@ def found(df: DataFrame, name: str, text: Column, pattern: str, sign: str | None
     df = df.withColumn(f"{name}_m", F.when(here, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(f"{name}_g", F.when(F.size(f"{name}_m") > 0, F.split(text, pattern, -1)).otherwise(none))
     parts = F.transform(F.col(f"{name}_m"), lambda x, i: F.struct(F.length(F.get(F.col(f"{name}_g"), i)).alias("gap"), x.alias("x"), F.substring(F.get(F.col(f"{name}_g"), i), -24, 24).alias("before")))
-    empty = F.array().cast("array<struct<s:int,e:int,x:string,before:string>>")
+    df = df.withColumn(f"{name}_p", parts)
+    df = df.withColumn(f"{name}_e", running(F.col(f"{name}_p"), lambda at, p: at + p["gap"] + F.length(p["x"])))
+    span = lambda p, i: F.struct((F.get(F.col(f"{name}_e"), i) - F.length(p["x"])).alias("s"), F.get(F.col(f"{name}_e"), i).alias("e"), p["x"].alias("x"), p["before"].alias("before"))
+    return df.withColumn(name, F.transform(f"{name}_p", span)).drop(f"{name}_m", f"{name}_g", f"{name}_p", f"{name}_e")
 
-    def step(a, p):
-        start = a["at"] + p["gap"]
-        end = start + F.length(p["x"])
-        span = F.struct(start.alias("s"), end.alias("e"), p["x"].alias("x"), p["before"].alias("before"))
-        return F.struct(end.alias("at"), F.concat(a["list"], F.array(span)).alias("list"))
 
-    return df.withColumn(name, F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("list")), step, lambda a: a["list"])).drop(f"{name}_m", f"{name}_g")
+def running(parts: Column, step) -> Column:
+    """The states of a fold that starts from 0, one after each part of a named column. Arrays grow by copying, so blocks of 256 states are
+    built by themselves and put together: the work stays near linear in the number of parts."""
+    none = F.array().cast("array<int>")
+
+    def add(a: Column, p: Column) -> Column:
+        after = step(a["at"], p)
+        return F.struct(after.alias("at"), F.concat(a["list"], F.array(after)).alias("list"))
+
+    def block(a: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(parts, b * 256 + 1, 256), F.struct(a["at"].alias("at"), none.alias("list")), add)
+        return F.struct(inner["at"].alias("at"), F.concat(a["lists"], F.array(inner["list"])).alias("lists"))
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(parts) / 256).cast("int") - 1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("lists"))
+    return F.when(F.size(parts) == 0, none).otherwise(F.aggregate(blocks, start, block, lambda a: F.flatten(a["lists"])))
 
 
 def digits(x: Column) -> Column:
@@ -107,7 +120,7 @@ def votes(c: Column) -> list[Column]:
     context = F.when(before.rlike(r"[=:]\s*[\"']?$"), 2).when(before.rlike(r"[.!?]\s*$|^$"), 1).otherwise(1)
     mix = F.when((letters >= 3) & (n >= 3) & (F.length(x) >= 12), 2).when((letters == 0) | (n <= 1), 0).otherwise(1)
     number = F.when(letters == 0, 0).otherwise(1)
-    wordlike = F.when(x.rlike(r"[a-z]{7,}|^[A-Za-z]+[0-9]{1,2}$"), 0).otherwise(1)
+    wordlike = F.when(x.rlike(r"[a-z]{7,}|^[A-Za-z]+[0-9]{1,4}$"), 0).otherwise(1)
     return [v.cast("int") for v in (shape, gazetteer, context, mix, number, wordlike)]
 
 
@@ -211,15 +224,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(f"__p_{kind}", lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), F.lit(kind).alias("k")))
 
     df = df.withColumn("__p_all", F.array_sort(F.concat(*map(named, [*KINDS, "secret"]))))
-    empty = F.array().cast("array<struct<s:int,e:int,k:string>>")
-
-    def merge(a, p):
-        last = F.element_at(a, -1)
-        meets = (F.size(a) > 0) & (p["s"] < F.when(F.size(a) > 0, last["e"]).otherwise(0))
-        joined = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], p["e"]).alias("e"), last["k"].alias("k"))))
-        return F.when(meets, joined).otherwise(F.concat(a, F.array(p)))
-
-    df = df.withColumn("__p_all", F.aggregate("__p_all", empty, merge))
+    # runs of overlapping spans: one begins where a span starts at or after the greatest end before it
+    df = df.withColumn("__p_reach", running(F.col("__p_all"), lambda at, p: F.greatest(at, p["e"])))
+    df = df.withColumn("__p_first", F.filter(F.transform("__p_all", lambda p, i: F.struct(p["s"].alias("s"), i.alias("i"), p["k"].alias("k"))), lambda p: (p["i"] == 0) | (p["s"] >= F.get(F.col("__p_reach"), p["i"] - 1))))
+    last = lambda j: F.coalesce(F.get(F.col("__p_first"), j + 1)["i"], F.size("__p_all")) - 1
+    df = df.withColumn("__p_all", F.transform("__p_first", lambda p, j: F.struct(p["s"].alias("s"), F.get(F.col("__p_reach"), last(j)).alias("e"), p["k"].alias("k"))))
     ahead = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__p_all"), i - 1)["e"])
     parts = F.transform("__p_all", lambda p, i: F.concat(F.substring(F.col("__p_text"), ahead(i) + 1, p["s"] - ahead(i)), F.lit("["), p["k"], F.lit("]")))
     rest = F.substring(F.col("__p_text"), F.element_at(F.col("__p_all"), -1)["e"] + 1, F.length("__p_text"))

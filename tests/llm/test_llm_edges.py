@@ -9,7 +9,7 @@ from agorascope.llm import ann_forest, embed_dedup, line_dedup, merge_dropout, n
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 CLASHES = ["n_lines", "spans", "score", "ids", "n_tokens", "length", "offset", "node", "key", "digest", "log_weight", "selected", "size", "rank", "toxic", "quality", "h", "held_out"]
-LONG = " ".join(f"token{i % 977} and" for i in range(40_000))
+LONG = " ".join(f"token{i % 977} and" for i in range(8_000))
 
 
 def documents(spark, rows):
