@@ -65,7 +65,7 @@ def learn(x: np.ndarray, dim: int, count: int, rounds: int = 30, seed: int = 5)
 def tables_for(n: int, dim: int, threshold: float, recall: float) -> tuple[int, int, int]:
     """Bits of a substring, number of tables, number of rotations."""
     agree = 1 - math.acos(threshold) / math.pi
-    bits = max(4, min(dim, 30, math.ceil(math.log2(max(n, 2) / 16))))
+    bits = min(dim, 30, max(4, math.ceil(math.log2(max(n, 2) / 16))))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
     return bits, tables, -(-tables // (dim // bits))
 

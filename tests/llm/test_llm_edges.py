@@ -101,13 +101,13 @@ def test_odd_vectors(spark):
 
 def test_stages(spark, odd, none, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (odd, none):
+    for name, docs in (("odd", odd), ("none", none)):
+        columns = docs.columns
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, str(tmp_path))
-            if k < len(corpus_pipeline.STAGES) - 1:
-                assert out.columns == docs.columns
-            out.write.parquet(f"{tmp_path}/{k}-{docs is odd}")
-            docs = spark.read.parquet(f"{tmp_path}/{k}-{docs is odd}") if k < len(corpus_pipeline.STAGES) - 1 else docs
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == columns
+            out.write.parquet(f"{tmp_path}/{name}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
 
 
 def test_pipeline_on_the_smallest_table(spark):
