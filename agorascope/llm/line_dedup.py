@@ -7,11 +7,12 @@ comparison); an occurrence is matched to its group by 192 bits of hash, and only
 
 Scale: the chunk texts are shuffled once after a map-side combine (a chunk that a third of all documents share leaves
 each task once), the documents once for the last join; occurrences travel as hashes. Joins on a hot chunk have one row
-on the other side, so that AQE can split them. Nothing is collected.
+on the other side; Spark does not split them, as that side is aggregated in the same stage, so such a chunk's places,
+a few numbers each, meet in one task. Nothing is collected.
 
 Edge cases: null text stays null and has no lines; empty text is one empty line; rows with the same id and text count as
 one occurrence and get the same result; a null id sorts before all others. Columns of the input keep their names and
-values (but the text); internal columns start with ``__ld_``.
+values, but the text's and those called n_lines or n_removed, which are replaced; internal columns start with ``__ld_``.
 """
 
 from __future__ import annotations
