@@ -71,7 +71,9 @@ def itemsets(found: DataFrame, least: int, levels: int = 10, kind: str = "docume
             apart = same.select(F.col("a").alias("x"), F.col("b").alias("next")).unionByName(same.select(F.col("b").alias("x"), F.col("a").alias("next")))
             met = apart.groupBy("next").agg(F.collect_set("x").alias("not_with"))
             grown = grown.join(met, "next", "left").where(F.expr("not_with IS NULL OR NOT arrays_overlap(items, not_with)")).drop("not_with")
-        grown = steps.save(grown.select("doc", F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last"), F.least("mult", "m").alias("mult")))
+        grown = grown.select("doc", F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last"), F.least("mult", "m").alias("mult"))
+        if size < levels:  # the next level starts from it
+            grown = steps.save(grown)
         measure = F.sum("mult") if kind == "posting" else F.count("*")
         sets = steps.save(grown.groupBy("items").agg(measure.alias("support")).where(F.col("support") >= least))
         if not sets.limit(1).count():
