@@ -18,6 +18,7 @@ is a heap); rows repeat as given. Scale: a map without a shuffle; memory is the
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -32,12 +33,14 @@ from .common import Memo, kept
 MARK, HIDDEN = "▁", "\x00"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 MASK = 2**64 - 1
+NEVER = float("inf")
+SHORT = 32  # longer units' agendas are heaps
 
 
 class Model:
     """A merge-type SentencePiece model with byte fallback."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, memo: int = 500_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, memo: int = 1_600_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(sp.get_piece_size())
         self.pieces = [sp.id_to_piece(i) for i in every]
@@ -45,7 +48,7 @@ class Model:
         self.cost = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in every if sp.is_byte(i)}
         self.from_byte = {i: b for b, i in self.byte.items()}
-        self.least = int(dropout * 2**64)
+        self.least = int(dropout * 2**32)
         self.seed, self.variants = seed, variants
         self.memos = [Memo(max(2, memo // variants)) for _ in range(variants)]
 
@@ -54,9 +57,45 @@ class Model:
 
     def unit(self, unit: str, variant: int) -> list[int]:
         """Ids of a run of marks and what follows it; HIDDEN stands for a literal mark."""
+        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed << 16) + variant + 1) if self.least else 0
+        symbols = self.short(unit, key) if len(unit) <= SHORT else self.long(unit, key)
+        out = []
+        for piece in symbols:
+            i = self.ids.get(piece)
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.byte[b] for b in piece.replace(HIDDEN, MARK).encode("utf-8", "surrogatepass")]
+        return out
+
+    def skipped(self, key: int, start: int, mid: int, end: int) -> bool:
+        return ((key ^ (start * 0x9E3779B1 + mid * 0x85EBCA77C2B3 + end * 0xC2B2AE3D27D4EB)) * 0xD6E8FEB86659FD93 & MASK) >> 32 < self.least
+
+    def short(self, unit: str, key: int) -> list[str]:
+        """The agenda as a plain list of costs, one an adjacent pair: the least, leftmost one is next."""
+        symbols, costs = list(unit), [self.cost.get(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)]
+        starts = list(range(len(unit) + 1))
+        cost, least = self.cost, self.least
+        while costs:
+            best = min(costs)
+            if best == NEVER:
+                break
+            i = costs.index(best)
+            if least and self.skipped(key, starts[i], starts[i + 1], starts[i + 2]):
+                costs[i] = NEVER
+                continue
+            symbols[i] += symbols.pop(i + 1)
+            del costs[i], starts[i + 1]
+            if i < len(costs):
+                costs[i] = cost.get(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                costs[i - 1] = cost.get(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def long(self, unit: str, key: int) -> list[str]:
+        """The agenda as a heap."""
         n = len(unit)
         cost, least = self.cost, self.least
-        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed << 16) + variant + 1)
         after = list(range(1, n + 1))  # where the symbol that begins here ends; 0: no symbol begins here
         before = list(range(-1, n - 1))  # where the symbol before this one begins
         agenda = []
@@ -67,12 +106,8 @@ class Model:
         heapify(agenda)
         while agenda:
             _, start, mid, end = heappop(agenda)
-            if after[start] != mid or mid >= n or after[mid] != end:
+            if after[start] != mid or mid >= n or after[mid] != end or (least and self.skipped(key, start, mid, end)):
                 continue
-            if least:
-                h = ((key ^ (start * 0x9E3779B97F4A7C15 + mid * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9)) * 0xD6E8FEB86659FD93) & MASK
-                if (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & MASK < least:
-                    continue
             after[start], after[mid] = end, 0
             if end < n:
                 before[end] = start
@@ -86,12 +121,7 @@ class Model:
                     heappush(agenda, (c, first, start, end))
         out, at = [], 0
         while at < n:
-            piece = unit[at : after[at]]
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            else:
-                out += [self.byte[b] for b in piece.replace(HIDDEN, MARK).encode("utf-8", "surrogatepass")]
+            out.append(unit[at : after[at]])
             at = after[at]
         return out
 
@@ -110,8 +140,8 @@ class Model:
             return np.array(out, np.int32)
         body = MARK + (text.replace(MARK, HIDDEN) if MARK in text else text).replace(" ", MARK)
         units = UNIT.findall(body) if MARK + MARK in body else [MARK + w for w in body[1:].split(MARK)]
-        known = self.memos[v].find(set(units), lambda new: [np.array(self.unit(u, v), "<i4").tobytes() for u in new])
-        return np.frombuffer(b"".join([known[u] for u in units]), "<i4")
+        known = self.memos[v].find(set(units), lambda new: [array("i", self.unit(u, v)).tobytes() for u in new])
+        return np.frombuffer(b"".join([known[u] for u in units]), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         pieces, from_byte = self.pieces, self.from_byte

@@ -314,6 +314,13 @@ def test_dropout_is_seeded_and_varies():
     assert len(everything) == 8  # no merge at all
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("abtheion▁,."), min_size=1, max_size=30), st.integers(0, 99))
+def test_both_agendas_agree(unit, key):
+    model = test_dropout_decodes_losslessly.models.setdefault(0.3, merge_dropout.Model(PIECES, 0.3, 3, 2))
+    assert model.short(unit, key) == model.long(unit, key)
+
+
 def test_encode_and_decode_tables(spark, docs, texts):
     found = merge_dropout.encode(docs, PIECES)
     assert found.where("NOT lossless OR n_tokens <> size(ids)").count() == 0
