@@ -88,6 +88,45 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     return out.drop(*[c for c in out.columns if c.startswith("__ld_")])
 
 
+def passage_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Like line_dedup, but every repeated passage of at least two lines goes whole, wherever it begins and ends.
+
+    A pair is a line and the next one that is not blank, with the blank ones between them. Both lines of a pair go where
+    the same pair (by SHA-256 of its text) stands at an earlier place, so runs of repeated pairs go whole and the first
+    occurrence of each line stays. Blank lines make no pairs of their own. Each pair is shuffled as a hash and a place.
+    """
+    base = docs.withColumn("__ld_key", row_key(id, text))
+    cut = base.select("__ld_key", F.col(id).alias("__ld_id"), F.split(F.col(text), "\n", -1).alias("__ld_lines"))
+    cut = cut.withColumn("__ld_full", F.filter(F.transform("__ld_lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
+
+    def pair(s, k):
+        e = F.get(F.col("__ld_full"), k + 1)
+        return F.struct(s.alias("s"), e.alias("e"), F.unhex(F.sha2(F.array_join(F.slice(F.col("__ld_lines"), s + 1, e - s + 1), "\n"), 256)).alias("x"))
+
+    pairs = F.transform(F.slice("__ld_full", F.lit(1), F.greatest(F.size("__ld_full") - 1, F.lit(0))), pair)
+    each = cut.select("__ld_key", "__ld_id", F.explode_outer(pairs).alias("__ld_p")).where(F.col("__ld_p").isNotNull())
+    places = each.select(F.col("__ld_p.x").alias("__ld_x"), F.struct("__ld_id", "__ld_key", F.col("__ld_p.s").alias("s")).alias("__ld_here"), F.col("__ld_p.e").alias("__ld_e"))
+    repeated = places.groupBy("__ld_x").agg(F.min("__ld_here").alias("__ld_first"), F.max("__ld_here").alias("__ld_last"))
+    repeated = repeated.where(F.col("__ld_first") != F.col("__ld_last")).drop("__ld_last")
+    gone = places.join(repeated, "__ld_x").where(F.col("__ld_here") != F.col("__ld_first"))
+    gone = gone.groupBy(F.col("__ld_here.__ld_key").alias("__ld_key")).agg(F.array_sort(F.collect_set(F.struct(F.col("__ld_here.s").alias("s"), F.col("__ld_e").alias("e")))).alias("__ld_gone"))
+    out = base.join(gone, "__ld_key", "left").withColumn("__ld_lines", F.split(F.col(text), "\n", -1))
+    # what stays lies between the pairs that go; these are in order, and each ends after the one before it
+    end = F.array(F.struct(F.size("__ld_lines").alias("s"), F.size("__ld_lines").alias("e")))
+    out = out.withColumn("__ld_gone", F.concat("__ld_gone", end))
+
+    def between(g, k):
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("__ld_gone"), k - 1)["e"] + 1)
+        return F.slice(F.col("__ld_lines"), start + 1, F.greatest(g["s"] - start, F.lit(0)))
+
+    out = out.withColumn("__ld_kept", F.flatten(F.transform("__ld_gone", between)))
+    whole = F.col("__ld_gone").isNull()
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__ld_lines"))
+    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(whole, F.lit(0)).otherwise(n - F.size("__ld_kept")).cast("long"))
+    out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join("__ld_kept", "\n")))
+    return out.drop(*[c for c in out.columns if c.startswith("__ld_")])
+
+
 def sql(window: int = 2, divisor: int = 3, min_lines: int = 2, source: str = "documents") -> str:
     """DuckDB SQL for line_dedup over rows with distinct ids."""
     powers = " + ".join(f"coalesce(lag(h, {k}) over w % {PRIME} * {pow(BASE, k, PRIME)} % {PRIME}, 0)" for k in range(window))
