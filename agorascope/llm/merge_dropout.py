@@ -2,13 +2,13 @@
 
 A text is a dummy blank and its characters; pieces are merged as a merge-type model does: an agenda holds the adjacent
 pairs whose concatenation is a piece, best score first, of equal scores the leftmost. A popped candidate is skipped for
-good if a hash keyed by the seed, the document's variant, the word and the candidate's position falls below
-``dropout``. A document's variant is a keyed hash of its id and text modulo ``variants``: equal documents are segmented
-alike, others in up to ``variants`` ways, and the same seed gives the same ids on any cluster. With dropout 0 the ids
-are the model's own.
+good with chance ``dropout``, each by a draw of its own: draws are keyed by the seed, the document (a hash of its id and
+text) and the word's number in the text, and give the gaps between skipped candidates. So every occurrence of a word is
+split anew, equal rows are split alike, and the same seed gives the same ids on any cluster. ``variants`` takes the
+document's hash modulo a number, if given. With dropout 0 the ids are the model's own.
 
 No piece has the word mark after another character, so no merge crosses a word's start, and words are solved by
-themselves; solved ones are kept in a memo of bounded size. Characters that are no piece, and a literal word mark, become
+themselves; a memo of bounded size keeps them by the numbers of the skipped candidates. Characters that are no piece, and a literal word mark, become
 their UTF-8 bytes' pieces; so decoding gives back every text exactly.
 
 Edge cases: null gives a null list, empty text an empty one; a text or word of any length is encoded whole (the agenda
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -33,14 +34,31 @@ from .common import Memo, kept
 MARK, HIDDEN = "▁", "\x00"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 MASK = 2**64 - 1
+STEP = 0x9E3779B97F4A7C15
+FARTHEST = 512  # a gap that reaches it goes on by another draw
 NEVER = float("inf")
 SHORT = 32  # longer units' agendas are heaps
 
 
+def mixed(x):
+    """Splitmix64's last steps, of an array or of one number."""
+    one = isinstance(x, int)
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK if one else (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK if one else (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> 31) if one else x ^ (x >> np.uint64(31))
+
+
+def bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
 class Model:
     """A merge-type SentencePiece model with byte fallback."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, memo: int = 1_600_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None, memo: int = 600_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(sp.get_piece_size())
         self.pieces = [sp.id_to_piece(i) for i in every]
@@ -48,54 +66,107 @@ class Model:
         self.cost = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in every if sp.is_byte(i)}
         self.from_byte = {i: b for b, i in self.byte.items()}
-        self.least = int(dropout * 2**32)
-        self.seed, self.variants = seed, variants
-        self.memos = [Memo(max(2, memo // variants)) for _ in range(variants)]
-
-    def variant(self, id, text: str) -> int:
-        return xxhash.xxh64_intdigest(f"{id}\0{text}".encode("utf-8", "surrogatepass"), self.seed) % self.variants
-
-    def unit(self, unit: str, variant: int) -> list[int]:
-        """Ids of a run of marks and what follows it; HIDDEN stands for a literal mark."""
-        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed << 16) + variant + 1) if self.least else 0
-        symbols = self.short(unit, key) if len(unit) <= SHORT else self.long(unit, key)
-        out = []
+        self.dropout, self.seed, self.variants = dropout, seed, variants
+        # a gap is the number of these that a draw lies below: gap > k has the chance (1 - dropout) ** (k + 1)
+        self.beyond = np.array([min(MASK, int((1 - dropout) ** (k + 1) * 2**64)) for k in reversed(range(FARTHEST))], np.uint64)
+        self.beyond_list = self.beyond.tolist()
+        self.whole, self.split = Memo(max(2, memo)), Memo(max(2, memo * 3 // 2))
+
+    def document(self, id, text: str) -> int:
+        x = xxhash.xxh64_intdigest(f"{id}\0{text}".encode("utf-8", "surrogatepass"), self.seed)
+        return mixed(((x % self.variants if self.variants else x) + self.seed * STEP) & MASK)
+
+    def draws(self, document: int, n: int, which: int) -> np.ndarray:
+        """The gaps by draw ``which`` of the document's first n words."""
+        keys = mixed(np.uint64(document) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP))
+        return FARTHEST - np.searchsorted(self.beyond, mixed(keys + np.uint64(which * STEP & MASK)), "right")
+
+    def skips(self, document: int, word: int) -> Iterator[int]:
+        """The numbers of a word's skipped candidates, in order, without end."""
+        key = mixed((document + (word + 1) * STEP) & MASK)
+        at, which = 0, 0
+        while True:
+            gap = FARTHEST - bisect_right(self.beyond_list, mixed((key + which * STEP) & MASK))
+            which += 1
+            at += gap
+            if gap < FARTHEST:
+                yield at
+                at += 1
+
+    def unit(self, unit: str, skips: int | Iterator[int] = 0) -> tuple[int, bytes]:
+        """The number of candidates popped, and the ids as int32, of a run of marks and what follows it; HIDDEN stands
+        for a literal mark."""
+        symbols = self.short(unit, skips) if len(unit) <= SHORT else self.long(unit, skips)
+        out = array("i")
         for piece in symbols:
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
             else:
-                out += [self.byte[b] for b in piece.replace(HIDDEN, MARK).encode("utf-8", "surrogatepass")]
-        return out
+                out.extend([self.byte[b] for b in piece.replace(HIDDEN, MARK).encode("utf-8", "surrogatepass")])
+        return self.popped, out.tobytes()
 
-    def skipped(self, key: int, start: int, mid: int, end: int) -> bool:
-        return ((key ^ (start * 0x9E3779B1 + mid * 0x85EBCA77C2B3 + end * 0xC2B2AE3D27D4EB)) * 0xD6E8FEB86659FD93 & MASK) >> 32 < self.least
+    def units(self, units: list[str], document: int) -> np.ndarray:
+        known = self.whole.find(set(units), lambda new: [self.unit(u) for u in new])
+        if not self.dropout:
+            return np.frombuffer(b"".join([known[u][1] for u in units]), np.int32)
+        out, split = [], self.split
+        make = lambda new: [self.unit(*k) for k in new]
+        firsts, seconds = (self.draws(document, len(units), k).tolist() for k in (0, 1))
+        for k, u in enumerate(units):
+            popped, ids = known[u]
+            at = firsts[k]
+            if at < popped:
+                if len(u) > SHORT:
+                    ids = self.unit(u, self.skips(document, k))[1]
+                else:
+                    # one more skip at a time, until the next one lies beyond the last candidate
+                    mask, skips = 0, None
+                    while at < popped:
+                        mask |= 1 << at
+                        key = (u, mask)
+                        got = split.new.get(key)
+                        popped, ids = got if got is not None else split.find({key}, make)[key]
+                        if skips is None:
+                            at, skips = at + 1 + seconds[k], ()
+                        else:
+                            if not skips:
+                                skips = self.skips(document, k)
+                                next(skips), next(skips)
+                            at = next(skips)
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def short(self, unit: str, key: int) -> list[str]:
+    def short(self, unit: str, skips: int | Iterator[int]) -> list[str]:
         """The agenda as a plain list of costs, one an adjacent pair: the least, leftmost one is next."""
         symbols, costs = list(unit), [self.cost.get(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)]
-        starts = list(range(len(unit) + 1))
-        cost, least = self.cost, self.least
+        cost, popped = self.cost, 0
+        skips = bits(skips) if isinstance(skips, int) else skips
+        skip = next(skips, -1)
         while costs:
             best = min(costs)
             if best == NEVER:
                 break
             i = costs.index(best)
-            if least and self.skipped(key, starts[i], starts[i + 1], starts[i + 2]):
-                costs[i] = NEVER
+            popped += 1
+            if popped - 1 == skip:
+                costs[i], skip = NEVER, next(skips, -1)
                 continue
             symbols[i] += symbols.pop(i + 1)
-            del costs[i], starts[i + 1]
+            del costs[i]
             if i < len(costs):
                 costs[i] = cost.get(symbols[i] + symbols[i + 1], NEVER)
             if i:
                 costs[i - 1] = cost.get(symbols[i - 1] + symbols[i], NEVER)
+        self.popped = popped
         return symbols
 
-    def long(self, unit: str, key: int) -> list[str]:
+    def long(self, unit: str, skips: int | Iterator[int]) -> list[str]:
         """The agenda as a heap."""
         n = len(unit)
-        cost, least = self.cost, self.least
+        cost, popped = self.cost, 0
+        skips = bits(skips) if isinstance(skips, int) else skips
+        skip = next(skips, -1)
         after = list(range(1, n + 1))  # where the symbol that begins here ends; 0: no symbol begins here
         before = list(range(-1, n - 1))  # where the symbol before this one begins
         agenda = []
@@ -106,7 +177,11 @@ class Model:
         heapify(agenda)
         while agenda:
             _, start, mid, end = heappop(agenda)
-            if after[start] != mid or mid >= n or after[mid] != end or (least and self.skipped(key, start, mid, end)):
+            if after[start] != mid or mid >= n or after[mid] != end:
+                continue
+            popped += 1
+            if popped - 1 == skip:
+                skip = next(skips, -1)
                 continue
             after[start], after[mid] = end, 0
             if end < n:
@@ -119,6 +194,7 @@ class Model:
                 c = cost.get(unit[first:end])
                 if c is not None:
                     heappush(agenda, (c, first, start, end))
+        self.popped = popped
         out, at = [], 0
         while at < n:
             out.append(unit[at : after[at]])
@@ -128,20 +204,22 @@ class Model:
     def encode(self, id, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        v = self.variant(id, text) if self.least else 0
+        document = self.document(id, text) if self.dropout else 0
         if HIDDEN in text:
             # both stand for themselves in bytes: cut around the real ones
-            out: list[int] = []
+            out: list[np.ndarray] = []
+            words = 0
             for k, part in enumerate(text.split(HIDDEN)):
                 body = (MARK if not k else "") + part.replace(MARK, HIDDEN).replace(" ", MARK)
-                out += [self.byte[0]] * bool(k)
+                if k:
+                    out.append(np.array([self.byte[0]], np.int32))
                 for unit in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", body):
-                    out += self.unit(unit, v)
-            return np.array(out, np.int32)
+                    out.append(np.frombuffer(self.unit(unit, self.skips(document, words) if self.dropout else 0)[1], np.int32))
+                    words += 1
+            return np.concatenate(out)
         body = MARK + (text.replace(MARK, HIDDEN) if MARK in text else text).replace(" ", MARK)
         units = UNIT.findall(body) if MARK + MARK in body else [MARK + w for w in body[1:].split(MARK)]
-        known = self.memos[v].find(set(units), lambda new: [array("i", self.unit(u, v)).tobytes() for u in new])
-        return np.frombuffer(b"".join([known[u] for u in units]), np.int32)
+        return self.units(units, document)
 
     def decode(self, ids: list[int]) -> str:
         pieces, from_byte = self.pieces, self.from_byte
@@ -161,7 +239,7 @@ class Model:
         return "".join(out)[1:]
 
 
-def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", dropout: float = 0.1, seed: int = 1, variants: int | None = None) -> DataFrame:
     """(id, ids array<int>, n_tokens long, lossless boolean: decoding the ids gives the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
