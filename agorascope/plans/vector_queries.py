@@ -73,7 +73,7 @@ def scf_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns tagged by a word's first letter, judged by a frame whose head is a common word."""
     frames = {"of": [("t", "Actor"), ("e", "Target")], "and": [("a", "Actor"), ("z", "Target")]}
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.latin_tokens(F.col("text")).alias("words"))
-    tokens = F.transform(F.slice("words", 1, 12), lambda w: F.struct(w.alias("word"), F.array(F.substring(w, 1, 1)).alias("tags")))
+    tokens = F.transform("words", lambda w: F.struct(w.alias("word"), F.array(F.substring(w, 1, 1)).alias("tags")))
     found = R.with_completeness(rows.select("conv_id", "turn", tokens.alias("tokens")), frames)
     return found.select("conv_id", "turn", "complete", F.array_join("open", ",").alias("open"))
 
@@ -97,7 +97,7 @@ def maxent_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentiment_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training accuracy of a quality classifier, by label."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.slice(F.split("text", " "), 1, 80).alias("tokens"), F.col("quality").cast("double").alias("label"))
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.split("text", " ").alias("tokens"), F.col("quality").cast("double").alias("label"))
     model = models.text_classifier(docs, "label", rounds=20)
     return model.transform(docs).groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
