@@ -5,13 +5,15 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.steps import Steps, components
+from ..operators.steps import Steps, components, salted_join
 
-__all__ = ["Memo", "Steps", "blocked", "components", "groups", "kept", "local_roots", "row_key", "shuffle_partitions"]
+__all__ = ["Memo", "Steps", "blocked", "components", "covered", "groups", "kept", "local_roots", "row_key", "salted_join", "shuffle_partitions", "smaller"]
 
 
 def kept(key: tuple, make):
@@ -23,6 +25,21 @@ def kept(key: tuple, make):
     return held[key]
 
 
+def smaller(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20, rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of at most ``rows`` rows whose strings in a column take at most ``size``
+    bytes, or of one row, so that what a task holds of long texts at once is bounded."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
+        at = 0
+        while at < len(ends):
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            upto = min(max(upto, at + 1), at + rows, len(ends))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 class Memo:
     """A dict of bounded size in two generations: what the older one holds is found, and kept if found."""
 
@@ -53,6 +70,12 @@ def row_key(*cols: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0000", *parts)))
 
 
+def covered(docs: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under names that no added column has, and these names by the input's."""
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in without}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,8 +88,8 @@ def blocked(rows: DataFrame, keys: list[str], name: str, block: int) -> DataFram
     Adds bi, bj, side (0: in block bi, 1: in block bj only).
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    sizes = sizes.select(*keys, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_nb"))
-    dealt = rows.join(sizes, keys).withColumn("_b", F.pmod(F.xxhash64(F.lit(7), name), F.col("_nb")).cast("int"))
+    sizes = sizes.select(*keys, "_n", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_nb"))
+    dealt = salted_join(rows, sizes, keys, name, "_n").withColumn("_b", F.pmod(F.xxhash64(F.lit(7), name), F.col("_nb")).cast("int"))
     return (
         dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
         .withColumn("bi", F.least("_b", "_o"))

@@ -13,9 +13,10 @@ depend on the number of documents:
 4. This is done for several limits between large and small, and the plan with the fewest sequences is taken.
 
 The plan is a list of runs (length, from rank, to rank, sequence, pieces a sequence). Ranks within a length are
-numbered in parallel: counts by (length, salt), their running sums, and row numbers within (length, salt), so that a
-length that a third of all pieces have is not sorted in one task. Offsets come from a window over a sequence, which
-holds at most ``capacity`` pieces.
+numbered in parallel: counts by (length, salt), their running sums, and row numbers within (length, salt); a length has
+a salt for each part of its pieces, ``CELLS`` in all, so that a length that a third of all pieces have is not sorted in one
+task. Offsets come from a window over a sequence, which holds at most ``capacity`` pieces. The plan and the salts'
+starts are sent to every task while they have at most ``MOST_ROWS`` rows, and joined by shuffle beyond that.
 
 Edge cases: a null text is empty, an empty document is its end id alone; equal rows are packed as often as they occur;
 an empty table gives an empty result; lengths, starts and checksums are of whole texts.
@@ -23,7 +24,10 @@ an empty table gives an empty result; lengths, starts and checksums are of whole
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,42 +37,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, Steps, kept
+from .common import Steps, kept, smaller
+
+CELLS = 4_096  # a salt of a length has at most so large a part of all pieces, or a thousand of them
+MOST_ROWS = 500_000  # rows of a table that is sent to every task
+#: How the tokenizer parts texts, as its file says; other tokenizers encode whole texts.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Parts that are cut here: printable ASCII but ' and <, and the letters of Latin-1.
+PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+WORD_BYTES = {*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)}
+
+
+def byte_signs() -> dict[str, int]:
+    """The printable sign that stands for each byte in a byte-level vocabulary, as sign -> byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def own_pieces(merges: list[tuple[str, str]], end: str) -> list[bool]:
+    """For each merge whether its result, taken as symbols, is put together again by merges of lower rank and this one last."""
+    rank = {pair: k for k, pair in enumerate(merges)}
+    made = {a + b: k for k, (a, b) in enumerate(merges)}
+    fine: list[bool] = []
+    for k, (a, b) in enumerate(merges):
+        if not all(len(x.removesuffix(end)) == 1 or (x in made and made[x] < k and fine[made[x]]) for x in (a, b)):
+            fine.append(False)
+            continue
+        whole = (a + b).removesuffix(end)
+        parts = list(whole)
+        parts[-1] += (a + b)[len(whole) :]
+        while len(parts) > 2:
+            best, at = min((rank.get(p, len(merges)), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if best >= k:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        fine.append(parts == [a, b])
+    return fine
+
+
+class Known(dict):
+    """A memo; what it lacks is looked up in the one before it, or made."""
+
+    def __init__(self, make, before: Known | None = None):
+        self.make, self.before = make, before
+
+    def __missing__(self, key):
+        got = self.before.get(key) if self.before is not None else None
+        self[key] = got = self.make(key) if got is None else got
+        return got
 
-SALTS = 64
+    def renewed(self, most: int) -> Known:
+        """Itself, or a fresh memo that still finds what this one holds."""
+        if len(self) <= most:
+            return self
+        self.before = None
+        return Known(self.make, self)
 
 
 class ChunkedEncoder:
     """Ids of whole texts, by parts between blanks and line ends.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its parts; parts repeat,
-    and a memo of bounded size holds their ids as little-endian bytes. A part that is a word and a full stop or comma
-    has the ids of both, since the tokenizer parts letters from signs; it also lower-cases.
+    and a memo of bounded size holds their ids as little-endian bytes. Parts of ASCII signs and Latin-1 letters are cut
+    into words, single digits and runs of signs, as the tokenizer's pattern does; all other parts are the tokenizer's.
+
+    Words are merged by a rank table: adjacent symbols whose concatenation is a piece are joined, least id first. That
+    is what the tokenizer does if ranks are ids, a merge's parts have lesser ids than its result, and every piece is put
+    together from its own symbols by its own merge: symbols that span a piece's place, with no join across its ends,
+    have then seen the same joins as the piece by itself, so they are that merge's two parts. The first two are tested when
+    the vocabulary is loaded, and pieces that fail the third are never made by the tokenizer and are left out. A word's
+    last byte, which carries the end mark, is written as a byte that no word has.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.plain = Memo(memo), Memo(memo)
-        self.signs = dict(zip(".,", self.tokenized([".", ","])))
-
-    def tokenized(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 5000):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
-        return out
-
-    def split(self, parts: list[str]) -> list[bytes]:
-        cut = [(p[:-1], p[-1]) if p[-1:] in self.signs and p[:-1].isalpha() else (p, "") for p in parts]
-        cut = [(w.lower() if w.isascii() and w.isalpha() else w, s) for w, s in cut]
-        known = self.plain.find({w for w, _ in cut}, self.tokenized)
-        return [known[w] + self.signs[s] if s else known[w] for w, s in cut]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.parts.find({p for x in parts for p in x}, self.split)
-        return [b"".join([known[p] for p in x]) for x in parts]
+        self.tokenizer, self.most = Tokenizer.from_file(path), memo // 2
+        self.ranks = self.rank_table(path)
+        self.parts = Known(self.part)
+        self.signs = Known(self.tokenized)
+
+    def rank_table(self, path: str):
+        """Words' merges; None if the tokenizer is not of this kind."""
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, steps = told["model"], told["pre_tokenizer"].get("pretokenizers", [])
+        end, vocab, merges = model.get("end_of_word_suffix"), model["vocab"], [tuple(m) for m in model["merges"]]
+        ids = [vocab[a + b] for a, b in merges]
+        if not (
+            (told["normalizer"] or {}).get("normalizers") == NORMALIZERS and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": PARTS} and steps[0]["invert"]
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and model["type"] == "BPE" and end and not model.get("dropout") and not model.get("ignore_merges")
+            and all("<" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in told["added_tokens"]) and ids == sorted(set(ids)) and all(vocab[a] < i and vocab[b] < i for (a, b), i in zip(merges, ids))
+        ):
+            return None
+        import tiktoken
+
+        left_out = {a + b for (a, b), fine in zip(merges, own_pieces(merges, end)) if not fine}
+        byte, ranks = byte_signs(), {}
+        free = [b for b in range(128) if b not in WORD_BYTES]
+        self.last = dict(zip([*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0)], free))
+        for piece, i in vocab.items():
+            own = [byte[c] for c in piece.removesuffix(end)]
+            if piece in left_out or not own or not WORD_BYTES.issuperset(own):
+                continue
+            if piece.endswith(end):
+                if own[-1] not in self.last:
+                    continue
+                own[-1] = self.last[own[-1]]
+            ranks[bytes(own)] = i
+        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def tokenized(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        own = word.encode()
+        return array("I", self.ranks(own[:-1] + bytes((self.last[own[-1]],)))).tobytes()
+
+    def part(self, part: str) -> bytes:
+        if not part:
+            return b""
+        low = part.lower()
+        if part.isascii() and part.isalpha():
+            return self.word(low)
+        if not PLAIN.fullmatch(part):
+            return self.tokenized(part)
+        return b"".join([self.word(x) if x[0].isalpha() else self.signs[x] for x in CUT.findall(low)])
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks is None:
+            return self.tokenized(text)
+        self.parts, self.signs = self.parts.renewed(self.most), self.signs.renewed(self.most)
+        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, vocab_path: str, capacity: int, id: str, text: str, end_id: int) -> DataFrame:
@@ -77,21 +180,19 @@ def pieces(docs: DataFrame, vocab_path: str, capacity: int, id: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(("encoder", vocab_path), lambda: ChunkedEncoder(vocab_path))
         end = np.array([end_id], dtype="<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                names = batch.column(0)
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[s : s + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id, "piece", "start", "length", "ids_crc32"])
+        for batch in smaller(batches, 1):
+            names = batch.column(0)
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, x in enumerate(batch.column(1)):
+                ids = memoryview(encoder.encode(x.as_py() or "") + end)
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[s : s + 4 * capacity]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(s // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id, "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(id, text)
     kind = rows.schema[id].dataType.simpleString()
@@ -266,24 +367,30 @@ def plan_for(counts: dict[int, int], capacity: int, groups: int, small: int) ->
     return runs
 
 
+def sent(table: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, to be sent to every task if it is known to be small; else Spark shuffles both sides."""
+    return F.broadcast(table) if rows <= MOST_ROWS else table
+
+
 def pack(docs: DataFrame, vocab_path: str, capacity: int = 2048, id: str = "doc_id", text: str = "text", end_id: int = 0, groups: int = 32) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     steps = Steps(spark, "pack")
     cut = steps.save(pieces(docs, vocab_path, capacity, id, text, end_id))
-    salt = F.pmod(F.xxhash64("ids_crc32", id, "piece"), F.lit(SALTS)).cast("int")
-    cells = steps.save(cut.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n")))  # at most capacity x SALTS rows
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = plan(counts, capacity, groups)
-    schema = "length long, lo long, hi long, sequence long, per long"
-    table = spark.createDataFrame(runs, schema) if runs else spark.createDataFrame([], schema)
+    share = max(1_000, sum(counts.values()) // CELLS)
+    salts = [(s, -(-n // share)) for s, n in counts.items()]  # at most capacity + CELLS in all
+    dealt = cut.join(F.broadcast(spark.createDataFrame(salts, "length long, salts long")), "length")  # at most capacity rows
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("ids_crc32", id, "piece"), F.col("salts"))).drop("salts")
+    cells = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))  # at most capacity x SALTS rows
+    starts = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy(id, "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("salt", salt).withColumn("rank", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # the plan has at most some tens of runs for each of capacity lengths
-    placed = ranked.join(F.broadcast(table.withColumnRenamed("length", "run_length")), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = ranked.join(sent(starts, sum(k for _, k in salts)), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    table = spark.createDataFrame(runs, "run_length long, lo long, hi long, sequence long, per long")
+    placed = ranked.join(sent(table, len(runs)), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     placed = placed.withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("lo")) / F.col("per")).cast("long"))
     ahead = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, -1))
     return placed.select(id, "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(ahead, F.lit(0)).cast("long").alias("offset"))
