@@ -1,24 +1,25 @@
 """Quality by importance resampling: how much likelier is a text under target than under raw text?
 
 Both are bag models of hashed n-grams: words and runs of signs of the lower-cased text, alone and in pairs, in
-``buckets`` buckets; a word that repeats the one before it is written as a fixed sign, so that stuttering text has an
-n-gram of its own. The raw model counts every document, the target model those of at most ``sample`` good labelled
+``buckets`` buckets. The raw model counts every document, the target model those of at most ``sample`` good labelled
 documents (the least by a hash of their id; the bound is this parameter). A document's log weight is the sum of its
-n-grams' log ratios; beyond ``length`` n-grams it is their mean times ``length``, since a long text's n-grams are no
-independent evidence and small errors of the model would add up. Documents are sampled without replacement by Gumbel top-k: a keyed draw is added to each log
-weight and the k greatest are selected. Unless given, k is the number of documents with a log weight of at least
-``floor``.
+n-grams' log ratios. Documents are sampled without replacement by Gumbel top-k: a keyed draw is added to each log
+weight, and the k greatest are selected, no more and no fewer. Unless ``k`` is given, k is the ``share`` of all
+documents; unless that is given either, it is the upper limit of the share of good documents, as estimated from all
+labels with ``sure`` standard errors.
 
 Scale: counts leave each task as one row a bucket; the model is ``buckets`` numbers; the k-th greatest value is found by
 descending through the 64 bits of an order-preserving key, 16 a round, so that no sort or top-k passes through one task.
 
-Edge cases: null and empty texts have no n-grams and log weight 0; without good labels all weights are 0 and all
-documents are selected; equal rows draw the same number and are selected together, so ties at the k-th value can select
-more than k; labels of one document count once; input columns called like the added ones are replaced.
+Edge cases: null and empty texts have no n-grams and log weight 0; without good labels all weights are 0 and, unless k or
+a share is given, all documents are selected; a document is good if one of its labels says so; equal rows draw the same
+number, and of rows that tie at the k-th value as many are selected as there is room for; a k beyond the number of rows
+selects all; input columns called like the added ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,18 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, Steps, kept
+from .common import Memo, Steps, kept, smaller
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SAME = np.uint64(0x5851F42D4C957F2D)
 ADDED = ("log_weight", "gumbel_key", "selected")
 
 
 class Grams:
     """Buckets of a text's n-grams. Parts between blanks repeat: their hashes are kept in a memo of bounded size."""
 
-    def __init__(self, buckets: int, memo: int = 400_000):
+    def __init__(self, buckets: int, memo: int = 200_000):
         self.buckets, self.memo = np.uint64(buckets), Memo(memo)
 
     @staticmethod
@@ -53,9 +53,6 @@ class Grams:
         h = np.frombuffer(b"".join([known[p] for p in parts]), "<u8")
         if not len(h):
             return np.empty(0, np.int64)
-        again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
-        h = np.where(again, SAME, h)
         one = (h * MIX) >> np.uint64(20)
         two = ((h[:-1] * MIX + h[1:]) * MIX2) >> np.uint64(20)
         return (np.concatenate([one, two]) % self.buckets).astype(np.int64)
@@ -67,8 +64,9 @@ def ordered_bits(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def kth_greatest(df: DataFrame, key: str, k: int) -> int | None:
-    """The k-th greatest value of a long column; None for k < 1 or beyond the number of rows."""
+def kth_greatest(df: DataFrame, key: str, k: int) -> tuple[int, int] | None:
+    """The k-th greatest value of a long column, and how many rows of that value are among the k greatest; None for k < 1
+    or beyond the number of rows."""
     if k < 1:
         return None
     prefix, left = None, k
@@ -82,7 +80,15 @@ def kth_greatest(df: DataFrame, key: str, k: int) -> int | None:
             left -= r["n"]
         else:
             return None
-    return prefix
+    return prefix, left
+
+
+def good_share(labels: DataFrame, sure: float) -> float:
+    """The upper limit of the share of good ones among labelled documents; 1 without labels."""
+    each = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    r = each.agg(F.count("*").alias("n"), F.avg((F.col("q") == 1).cast("double")).alias("p")).first()
+    n, p = r["n"], r["p"] or 0.0
+    return min(1.0, p + sure * math.sqrt(p * (1 - p) / n)) if n else 1.0
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets: int, sample: int) -> np.ndarray:
@@ -92,9 +98,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = kept(("grams", buckets), lambda: Grams(buckets))
         both = np.zeros((2, buckets), np.int64)
-        for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.bincount(grams.of(t), minlength=buckets)
+        for batch in smaller(batches, 1):
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c = np.bincount(grams.of(t.as_py()), minlength=buckets)
                 both[0] += c
                 if name in target:
                     both[1] += c
@@ -113,7 +119,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None, floor: float = -5.0, buckets: int = 10_000, sample: int = 20_000, length: int = 64, seed: int = 1
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None, share: float | None = None, sure: float = 3.0, buckets: int = 10_000, sample: int = 20_000, seed: int = 1
 ) -> DataFrame:
     """The documents with log_weight double, gumbel_key double, selected boolean; labels: (doc_id, quality)."""
     steps = Steps(docs.sparkSession, "quality")
@@ -123,20 +129,28 @@ def resample(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = kept(("grams", buckets), lambda: Grams(buckets))
-        for batch in batches:
-            texts = batch.column(at_text).to_pylist()
-            found = [grams.of(t) for t in texts]
-            weight = np.array([ratio[g].sum() * min(1.0, length / max(1, len(g))) for g in found], np.float64)
-            drawn = np.array([xxhash.xxh64_intdigest(f"{name}\0{t}".encode("utf-8", "surrogatepass"), seed) for name, t in zip(batch.column(at_id).to_pylist(), texts)], np.uint64)
-            uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            key = weight - np.log(-np.log(uniform))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(key), pa.array(ordered_bits(key))], [*batch.schema.names, "log_weight", "gumbel_key", "__q_order"])
+        for batch in smaller(batches, at_text):
+            weight, drawn = [], []
+            for name, t in zip(batch.column(at_id).to_pylist(), batch.column(at_text)):
+                t = t.as_py()
+                weight.append(float(ratio[grams.of(t)].sum()))
+                drawn.append(xxhash.xxh64_intdigest(f"{name}\0{t}".encode("utf-8", "surrogatepass"), seed))
+            uniform = ((np.array(drawn, np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+            key = np.array(weight) - np.log(-np.log(uniform))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64()), pa.array(key), pa.array(ordered_bits(key))], [*batch.schema.names, "log_weight", "gumbel_key", "__q_order"])
 
     added = [T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType()), T.StructField("__q_order", T.LongType())]
     schema = T.StructType([*docs.schema.fields, *added])
-    scored = steps.save(docs.mapInArrow(score, schema))
+    scored = steps.save(docs.mapInArrow(score, schema).withColumn("__q_row", F.monotonically_increasing_id()))
     if k is None:
-        k = scored.where(F.col("log_weight") >= floor).count()
-    least = kth_greatest(scored, "__q_order", k)
-    chosen = F.lit(k > 0) if least is None else F.col("__q_order") >= least
-    return scored.withColumn("selected", chosen).drop("__q_order")
+        if share is None:
+            share = good_share(labels, sure) if ratio.any() else 1.0
+        k = math.ceil(share * scored.count())
+    found = kth_greatest(scored, "__q_order", k)
+    if found is None:
+        chosen = F.lit(k > 0)
+    else:
+        least, room = found
+        last, _ = kth_greatest(scored.where(F.col("__q_order") == least), "__q_row", room)
+        chosen = (F.col("__q_order") > least) | ((F.col("__q_order") == least) & (F.col("__q_row") >= last))
+    return scored.withColumn("selected", chosen).drop("__q_order", "__q_row")
