@@ -8,13 +8,15 @@ held as 64-bit hashes. Two documents link when the Jaccard similarity of their s
 2. Bands of MinHash values propose candidates (a pair at the threshold is missed with a chance of 3 in a million).
    Buckets with the same members are compared once. Pairs are compared value by value in steps: with m of n values
    equal and a uniform prior, the posterior chance that the similarity reaches the threshold is
-   P(Binomial(n + 1, threshold) <= m); below ``tolerance`` the pair is dropped. What is left connects classes.
-3. The classes of each connected part meet in blocks with their sets; pairs that pass the same pruning are verified
-   exactly, by counting common n-grams, and only these are links.
+   P(Binomial(n + 1, threshold) <= m); below ``tolerance`` the pair is dropped. A pair counts in the first band only in
+   which it agrees, so in one bucket. Of each bucket the classes that are in a pair are noted.
+3. The noted classes meet again in their buckets with their sets. Pairs that pass the same pruning, which are those of
+   step 2, are verified exactly, by counting common n-grams, and only these are links.
 
 Scale: what is shuffled is the documents' MinHash values once, 16 bytes a band, the texts once (for step 3), and the
-sets of documents that have a candidate. A bucket or part of any size is dealt into pairs of blocks of ``block`` rows,
-so no task holds it whole; tasks return a count and a smallest neighbour for each row, never pairs. Every step is
+sets of documents that have a candidate, once a bucket in which they have one. A bucket of any size is dealt into pairs
+of blocks of at most about ``block`` rows and ``BLOCK_BYTES`` of sets, so no task holds it whole; tasks return a count and
+a smallest neighbour for each row, never pairs. Keys with many rows are salted where they are joined. Every step is
 written to the shared checkpoint folder; nothing but small counts reaches the driver.
 
 Edge cases: null, empty and blank texts have no n-grams and link with nothing; repeated rows are members of one class
@@ -31,20 +33,22 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Steps, blocked, components, groups, kept, local_roots
+from .common import Memo, Steps, components, groups, kept, local_roots, salted_join, smaller
 
 HASHES, ROWS, STEP = 96, 4, 16
+BLOCK_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
     """Hashed word n-grams; words repeat, so their hashes are kept in a memo of bounded size."""
 
-    def __init__(self, words: int, memo: int = 400_000):
+    def __init__(self, words: int, memo: int = 200_000):
         self.words, self.memo = words, Memo(memo)
         rng = np.random.default_rng(20240229)
         self.key = rng.integers(0, 2**63, (HASHES, 1), dtype=np.uint64)
@@ -119,19 +123,32 @@ def values(column: pa.ChunkedArray, width: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def candidate_stars(least: list[int]):
+def pairs_of(t: pa.Table, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of a bucket's two blocks that pruning leaves and that agree in no band before the bucket's."""
+    side, sig = t["side"].to_numpy(), values(t["sig"], HASHES, "<u4")
+    one = np.nonzero(side == 0)[0]
+    two = one if t["bi"][0] == t["bj"][0] else np.nonzero(side == 1)[0]
+    i, j = surviving(sig[one], sig[two], one is two, least)
+    i, j = one[i], two[j]
+    first = [np.empty(0, bool)]
+    for at in range(0, len(i), 20_000):
+        w = slice(at, at + 20_000)
+        agree = (sig[i[w]] == sig[j[w]]).reshape(-1, HASHES // ROWS, ROWS).all(axis=2)
+        first.append(agree.any(axis=1) & (agree.argmax(axis=1) == t["band"][0].as_py()))
+    first = np.concatenate(first)
+    return i[first], j[first]
+
+
+BUCKET = ["key", "bi", "bj"]
+
+
+def candidates(least: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["key", "bi", "bj"]):
-            node, side = t["node"].to_numpy(), t["side"].to_numpy()
-            sig = values(t["sig"], HASHES, "<u4")
-            same = t["bi"][0] == t["bj"][0]
-            one = np.nonzero(side == 0)[0]
-            two = one if same else np.nonzero(side == 1)[0]
-            i, j = surviving(sig[one], sig[two], same, least)
+        for t in groups(batches, BUCKET):
+            i, j = pairs_of(t, least)
             if len(i):
-                up = np.array(local_roots(len(node), zip(one[i].tolist(), two[j].tolist())))
-                own = np.nonzero(up != np.arange(len(up)))[0]
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[up[own]])], ["a", "b"])
+                t = t.drop_columns("sig").take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks()
+                yield from t.select(["key", "band", "bi", "bj", "side", "node"]).to_batches()
 
     return run
 
@@ -140,39 +157,34 @@ def exact_links(least: list[int], threshold: Fraction):
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["part", "bi", "bj"]):
+        for t in groups(batches, BUCKET):
             _, first = np.unique(t["node"].to_numpy(), return_index=True)  # a repeated row brings its class again
             t = t.take(pa.array(np.sort(first)))
-            node, side, size = (t[c].to_numpy() for c in ("node", "side", "size"))
-            sig = values(t["sig"], HASHES, "<u4")
-            same = t["bi"][0] == t["bj"][0]
-            one = np.nonzero(side == 0)[0]
-            two = one if same else np.nonzero(side == 1)[0]
-            i, j = surviving(sig[one], sig[two], same, least)
+            i, j = pairs_of(t, least)
             if not len(i):
                 continue
-            sets = [np.frombuffer(x, "<u8") for x in t["grams"].to_pylist()]
-            sizes = np.array([len(x) for x in sets])
-            every, place = np.unique(np.concatenate(sets), return_inverse=True)
+            node, size = t["node"].to_numpy(), t["size"].to_numpy()
+            sizes = pc.binary_length(t["grams"]).to_numpy().astype(np.int64) // 8
+            _, place = np.unique(values(t["grams"], 1, "<u8").ravel(), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            ids = [place[starts[k] : starts[k + 1]] for k in range(len(sets))]
-            mark = np.zeros(len(every), np.int64)
+            mark = np.zeros(len(place) + 1, np.int64)
             links, pairs = np.zeros(len(node), np.int64), []
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             cuts = np.nonzero(np.diff(i, prepend=-1))[0].tolist() + [len(i)]
             for lo, hi in zip(cuts, cuts[1:]):
-                a, others = one[i[lo]], two[j[lo:hi]]
-                mark[ids[a]] = 1
+                a, others = i[lo], j[lo:hi]
+                own = place[starts[a] : starts[a + 1]]
+                mark[own] = 1
                 for at in range(0, len(others), 256):
                     some = others[at : at + 256]
                     offsets = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-                    common = np.add.reduceat(mark[np.concatenate([ids[b] for b in some])], offsets)
+                    common = np.add.reduceat(mark[np.concatenate([place[starts[b] : starts[b + 1]] for b in some])], offsets)
                     ok = some[common * den >= num * (sizes[a] + sizes[some] - common)]
                     links[a] += size[ok].sum()
                     links[ok] += size[a]
                     pairs += [(int(a), int(b)) for b in ok]
-                mark[ids[a]] = 0
+                mark[own] = 0
             up = np.array(local_roots(len(node), pairs))
             own = np.nonzero(links)[0]
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(links[own]), pa.array(node[up[own]])], ["node", "links", "to"])
@@ -191,44 +203,47 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = kept(("shingler", words), lambda: Shingler(words))
-        for batch in batches:
-            sets = [shingler.grams(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([digest(x) if len(x) else None for x in sets], pa.binary()), pa.array([shingler.minhash(x).tobytes() if len(x) else None for x in sets], pa.binary())],
-                ["id", "digest", "sig"],
-            )
-
-    signed = steps.save(rows.mapInArrow(sign, f"id {kind}, digest binary, sig binary"))
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("sig").alias("sig"))
+        for batch in smaller(batches, 1):
+            out: tuple[list, list, list] = ([], [], [])
+            for x in batch.column(1):
+                grams = shingler.grams(x.as_py())
+                some = len(grams) > 0
+                for column, value in zip(out, (digest(grams) if some else None, shingler.minhash(grams).tobytes() if some else None, len(grams))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["id", "digest", "sig", "grams"])
+
+    signed = steps.save(rows.mapInArrow(sign, f"id {kind}, digest binary, sig binary, grams long"))
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("sig").alias("sig"), F.max("grams").alias("grams"))
     classes = steps.save(classes.withColumn("node", F.monotonically_increasing_id()))
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 4 * ROWS + 1, F.lit(4 * ROWS))))
-    places = classes.select("node", F.explode(bands).alias("key"))
-    members = places.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y"))
-    chosen = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    some = steps.save(places.join(chosen, "key"))
-    met = blocked(some, ["key"], "node", block).join(classes.select("node", "sig"), "node")
-    stars = met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(candidate_stars(least), "a long, b long")
-    parts = components(steps, stars)
-    parts = steps.save(parts.unionByName(parts.select("root").distinct().select(F.col("root").alias("node"), "root")))
+    places = classes.select("node", "grams", F.posexplode(bands).alias("band", "key"))
+    buckets = places.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y"), F.min("band").alias("band"), F.sum("grams").alias("grams"))
+    # of buckets with the same members the one of the least band, in which its pairs agree first
+    chosen = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "key", "grams")).alias("c"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("c.grams") * 8 / F.lit(BLOCK_BYTES))).cast("int")
+    chosen = steps.save(chosen.select("c.key", "c.band", "n", blocks.alias("blocks")))
+    dealt = salted_join(places.select("node", "key"), chosen, ["key"], "node", "n")
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "key", "band", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side"))
+    met = dealt.join(classes.select("node", "sig"), "node").repartition(*BUCKET).sortWithinPartitions(*BUCKET)
+    noted = steps.save(met.mapInArrow(candidates(least), "key long, band int, bi int, bj int, side int, node long"))
 
     def regather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = kept(("shingler", words), lambda: Shingler(words))
-        for batch in batches:
-            sets = [shingler.grams(x) for x in batch.column(0).to_pylist()]
+        for batch in smaller(batches, 0):
+            sets = [shingler.grams(x.as_py()) for x in batch.column(0)]
             same = [i for i, (x, d) in enumerate(zip(sets, batch.column(1).to_pylist())) if digest(x) == d]
             if same:
                 at = pa.array(same, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(2, 6)), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["node", "part", "size", "sig", "grams"])
-
-    wanted = classes.join(parts.select("node", F.col("root").alias("part")), "node")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "digest", "node", "part", "size", "sig")
-    sets = texts.mapInArrow(regather, "node long, part long, size long, sig binary, grams binary")
-    sizes = parts.groupBy(F.col("root").alias("part")).agg(F.count("*").alias("_n"))
-    dealt = sets.join(sizes.select("part", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_nb")), "part")
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    dealt = dealt.select("node", "part", "size", "sig", "grams", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side"))
-    found = dealt.repartition("part", "bi", "bj").sortWithinPartitions("part", "bi", "bj").mapInArrow(exact_links(least, Fraction(str(threshold))), "node long, links long, to long")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(2, 6)), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["node", "size", "sig", "tasks", "grams"])
+
+    tasks = noted.groupBy("node").agg(F.collect_list(F.struct("key", "band", "bi", "bj", "side")).alias("tasks"))
+    wanted = classes.drop("grams").join(tasks, "node")
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "digest", "node", "size", "sig", "tasks")
+    sets = texts.mapInArrow(regather, "node long, size long, sig binary, tasks array<struct<key:long,band:int,bi:int,bj:int,side:int>>, grams binary")
+    sets = sets.select("node", "size", "sig", "grams", F.explode("tasks").alias("t")).select("node", "size", "sig", "grams", "t.*")
+    found = sets.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(exact_links(least, Fraction(str(threshold))), "node long, links long, to long")
     found = steps.save(found)
     joined = components(steps, found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
