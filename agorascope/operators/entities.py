@@ -15,8 +15,9 @@ from ..functions.text import COMPARATIVE, Tokenizer, contains_any, entity_patter
 Dictionary = list[tuple[int, str]]  # (group, form) in dictionary order
 
 
-def dictionary_of(entities: DataFrame, most: int = 10_000) -> Dictionary:
-    """The forms in order; a dictionary of more than ``most`` forms is refused."""
+def dictionary_of(entities: DataFrame, most: int = 500) -> Dictionary:
+    """The forms in order; a dictionary of more than ``most`` forms is refused, as each form becomes a pattern of the plan;
+    ``mentions`` joins dictionaries of any size."""
     rows = entities.select("group_id", "pos", "form").orderBy("group_id", "pos").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} forms")
@@ -30,11 +31,21 @@ def mentioned(text: Column, entities: Dictionary, latin_rule: bool = True) -> Co
 
 
 def mentions(sentences: DataFrame, entities: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, group_id, form) as a join, for dictionaries too large to write out: the form's text must occur, then its
-    beginning must be one."""
-    met = sentences.select(id, text).join(entities, F.contains(F.lower(text), F.lower("form")))
-    pattern = F.concat(F.lit(r"(?iu)(?:^|[. \n?]|[^\p{Ll}\p{Lu}](?=[\p{Ll}\p{Lu}]))\Q"), F.col("form"), F.lit(r"\E"))
-    return met.where(F.rlike(F.col(text), pattern)).select(id, "group_id", "form")
+    """(id, group_id, form) as an equi-join, for dictionaries of any size: at each place where a form may begin, the
+    beginnings of all lengths that forms have are looked up. Lengths are collected, a row each. Rows of equal id and text
+    count once."""
+    forms = entities.select("group_id", "form", F.lower("form").alias("_key")).where("form <> ''").distinct()
+    lengths = sorted(r["n"] for r in forms.select(F.length("_key").alias("n")).distinct().collect())
+    if not lengths:
+        return sentences.select(id).join(forms.select("group_id", "form"), F.lit(False))
+    low = F.lower(text)
+    # each part begins where a form may begin: at the start, after a stop, blank, line end or question mark, or as a cased letter after anything else
+    parts = F.split(low, r"(?<=[. \n?])|(?<=[^\p{Ll}\p{Lu}])(?=[\p{Ll}\p{Lu}])", -1)
+    each = sentences.select(F.col(id).alias("_id"), low.alias("_low"), F.posexplode(parts).alias("_k", "_part"), parts.alias("_parts"))
+    start = F.aggregate(F.slice("_parts", F.lit(1), F.col("_k")), F.lit(0), lambda a, p: a + F.length(p))
+    tails = each.select("_id", F.col("_low").substr(start + 1, F.lit(lengths[-1])).alias("_tail")).distinct()
+    keys = tails.select("_id", F.explode(F.array(*[F.when(F.length("_tail") >= n, F.left("_tail", F.lit(n))) for n in lengths])).alias("_key")).where("_key IS NOT NULL").distinct()
+    return keys.join(forms, "_key").select(F.col("_id").alias(id), "group_id", "form").distinct()
 
 
 def with_mentions(cases: DataFrame, entities: Dictionary, target: str = "target", context: str = "context") -> DataFrame:
@@ -74,10 +85,26 @@ def first_only() -> Column:
     return _or_empty(F.try_element_at(every, F.lit(1)))
 
 
-def by_affinity(cases: DataFrame, scores: DataFrame, least: float = 2.0) -> DataFrame:
-    """Cases (case) with answer: groups whose best affinity is above ``least``; scores (case, entity, best)."""
+# The same over running values (threads.mentions_so_far), where no row carries the sentences before it:
+# target_groups, newest and oldest.
+
+
+def running_recent() -> Column:
+    return F.when(F.size("target_groups") > 0, F.col("target_groups")).otherwise(F.col("newest"))
+
+
+def running_recents_first() -> Column:
+    return F.when(F.size("target_groups") > 0, F.col("target_groups")).otherwise(F.slice("newest", 1, 1))
+
+
+def running_first_only() -> Column:
+    return F.when(F.size("oldest") > 0, F.col("oldest")).otherwise(F.col("target_groups"))
+
+
+def by_affinity(cases: DataFrame, scores: DataFrame, least: float = 2.0, kind: str = "int") -> DataFrame:
+    """Cases (case) with answer: groups whose best affinity is above ``least``; scores (case, entity, best), entities of type ``kind``."""
     found = scores.where((F.col("best") > least) & ~F.isnan("best")).groupBy("case").agg(F.sort_array(F.collect_set("entity")).alias("answer"))
-    return cases.join(found, "case", "left").withColumn("answer", F.coalesce("answer", F.array().cast("array<int>")))
+    return cases.join(found, "case", "left").withColumn("answer", F.coalesce("answer", F.array().cast(f"array<{kind}>")))
 
 
 def context_words(sentence: Column, group: int, entities: Dictionary, size: int = 3, tokenizer: Tokenizer = latin_tokens) -> Column:

@@ -25,14 +25,16 @@ FRAMES = {
 Frames = dict[str, list[tuple[str, str]]]
 
 
-def closure(starts: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
+def closure(starts: DataFrame, parents: DataFrame) -> DataFrame:
     """(start, node, depth): all nodes reachable from each start along parents(node, parent), itself at depth 0, each
-    at its least depth. One round a level; what has been reached is not followed again, so cycles end."""
+    at its least depth. One round a level, as many as there are; what has been reached is not followed again, so cycles end."""
     steps = Steps(starts.sparkSession, "closure")
     edges = parents.select("node", "parent").where("parent IS NOT NULL").distinct()
     front = steps.save(starts.select("start", F.col("node")).distinct().withColumn("depth", F.lit(0)))
     found = front
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         more = front.join(edges, "node").select("start", F.col("parent").alias("node")).distinct().join(found.select("start", "node"), ["start", "node"], "left_anti")
         front = steps.save(more.withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
@@ -171,24 +173,23 @@ def trees(rows: DataFrame, id: str, text: str) -> DataFrame:
     return rows.select(id, F.explode(parsed(text)).alias("_n")).select(id, "_n.*")
 
 
-def lowest_clauses(text: str, entity: str, clause: str = "S") -> list[str]:
-    """Texts of the lowest nodes of type ``clause`` that hold the entity, left to right."""
-    nodes = parse_tree(text)
-    children: dict[int, list[int]] = {}
-    for n, parent, _, _ in nodes:
-        children.setdefault(parent, []).append(n)
-
-    def whole(n: int) -> str:
-        own = [nodes[n][3]] if nodes[n][3] else []
-        return " ".join([*own, *[whole(c) for c in children.get(n, [])]])
-
-    def look(n: int) -> tuple[bool, list[str]]:
-        below = [look(c) for c in children.get(n, [])]
-        texts = [t for _, ts in below for t in ts]
-        if texts:
-            return True, texts
-        if any(held for held, _ in below):
-            return True, [whole(n)] if nodes[n][2] == clause else []
-        return entity in nodes[n][3], []
-
-    return [t for n in children.get(-1, []) for t in look(n)[1]]
+def lowest_clauses(nodes: DataFrame, entity: str, clause: str = "S", id: str = "id") -> DataFrame:
+    """(id, node, text): of each tree the clauses nearest above a leaf that holds the entity, but those that have such a
+    clause below them; a clause's text is that of its leaves in order. nodes: as ``trees`` gives them."""
+    steps = Steps(nodes.sparkSession, "clauses")
+    up = steps.save(nodes.select(id, "node", "parent"))
+    # every node with each of its ancestors, itself included, one round a level of the deepest tree
+    front = above = up.select(id, "node", F.col("node").alias("top"), F.col("parent").alias("next"))
+    while front.where("next >= 0").limit(1).count():
+        parents = up.select(id, F.col("node").alias("next"), F.col("parent").alias("further"))
+        front = steps.save(front.where("next >= 0").join(parents, [id, "next"]).select(id, "node", F.col("next").alias("top"), F.col("further").alias("next")))
+        above = above.unionByName(front)
+    above = above.select(id, "node", "top").join(nodes.where(F.col("type") == clause).select(id, F.col("node").alias("top")), [id, "top"])
+    holds = above.join(nodes.where(F.contains("text", F.lit(entity))).select(id, "node"), [id, "node"], "left_semi").select(id, "top").distinct()
+    # a clause with another holding clause below is not the lowest
+    higher = above.where("node <> top").join(holds.select(id, F.col("top").alias("node")), [id, "node"], "left_semi").select(id, "top").distinct()
+    lowest = holds.join(higher, [id, "top"], "left_anti")
+    leaves = nodes.where("text <> ''").select(id, "node", "text")
+    each = above.join(lowest, [id, "top"], "left_semi").join(leaves, [id, "node"])
+    words = F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"])
+    return each.groupBy(id, F.col("top").alias("node")).agg(F.array_join(words, " ").alias("text"))

@@ -7,7 +7,7 @@ Indicator functions are (position, value >= 0, label); values never seen at 0 or
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_CELLS = 200_000
@@ -85,13 +85,13 @@ def fit(found: list[tuple[tuple[int, ...], int, int]], rounds: int = 200, newton
 
 
 def classify(rows: DataFrame, model: MaxEnt) -> DataFrame:
-    """Rows (features) with predicted, in DataFrame functions."""
-    best = None
-    for y in range(1, model.labels + 1):
-        score = F.lit(float(len(model.weights)))
-        for (i, v, label), w in model.weights.items():
-            if label == y:
-                score = score + F.when(F.get("features", F.lit(i)) == v, float(np.exp(w)) - 1.0).otherwise(0.0)
-        item = F.struct(score.alias("s"), F.lit(-y).alias("y"))
-        best = item if best is None else F.greatest(best, item)
-    return rows.withColumn("predicted", -best["y"])
+    """Rows (features) with predicted, in DataFrame functions; the weights are one map in the plan."""
+    names = sorted(model.weights)
+    weights = F.map_from_arrays(F.lit([f"{i}:{v}:{y}" for i, v, y in names]), F.lit([float(np.exp(model.weights[k])) - 1.0 for k in names]))
+
+    def score(y: Column) -> Column:
+        fired = F.transform("features", lambda v, i: F.coalesce(F.try_element_at(weights, F.concat_ws(":", i.cast("string"), v.cast("string"), y.cast("string"))), F.lit(0.0)))
+        return F.aggregate(fired, F.lit(float(len(names))), lambda a, x: a + x)
+
+    each = F.transform(F.sequence(F.lit(1), F.lit(model.labels)), lambda y: F.struct(score(y).alias("s"), (-y).alias("y")))
+    return rows.withColumn("predicted", -F.array_max(each)["y"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import subsets
 from .steps import Steps
 
 
@@ -62,11 +63,13 @@ def itemsets(found: DataFrame, least: int, levels: int = 10, kind: str = "docume
     if levels < 2:
         return out
     # documents' itemsets of the level, each with its least multiplicity
-    level, pairs = kept.select("doc", F.array("item").alias("items"), F.col("item").alias("last"), "mult"), None
+    level, sets = kept.select("doc", F.array("item").alias("items"), F.col("item").alias("last"), "mult"), None
     for size in range(2, levels + 1):
-        grown = level.join(kept.select("doc", F.col("item").alias("next"), F.col("mult").alias("m")), "doc").where("next > last")
-        if pairs is not None:  # only frequent pairs can extend a set
-            grown = grown.join(pairs, (F.col("last") == F.col("a")) & (F.col("next") == F.col("b")), "left_semi")
+        if sets is None:
+            grown = level.join(kept.select("doc", F.col("item").alias("next"), F.col("mult").alias("m")), "doc").where("next > last")
+        else:  # only to candidates all of whose subsets are frequent
+            able = able_candidates(sets).select(F.slice("items", F.lit(1), F.lit(size - 1)).alias("items"), F.element_at("items", -1).alias("next"))
+            grown = level.join(able, "items").join(kept.select("doc", F.col("item").alias("next"), F.col("mult").alias("m")), ["doc", "next"])
         if same is not None:
             apart = same.select(F.col("a").alias("x"), F.col("b").alias("next")).unionByName(same.select(F.col("b").alias("x"), F.col("a").alias("next")))
             met = apart.groupBy("next").agg(F.collect_set("x").alias("not_with"))
@@ -78,8 +81,6 @@ def itemsets(found: DataFrame, least: int, levels: int = 10, kind: str = "docume
         sets = steps.save(grown.groupBy("items").agg(measure.alias("support")).where(F.col("support") >= least))
         if not sets.limit(1).count():
             break
-        if size == 2:
-            pairs = sets.select(F.get("items", F.lit(0)).alias("a"), F.get("items", F.lit(1)).alias("b"))
         out = out.unionByName(sets.select("items", F.lit(size).alias("size"), "support"))
         level = grown.join(sets.select("items"), "items", "left_semi")
     return out
@@ -94,6 +95,13 @@ def candidates(sets: DataFrame) -> DataFrame:
     return a.join(b, "head").where("x < y").select(F.concat("items", F.array("y")).alias("items"))
 
 
+def able_candidates(sets: DataFrame) -> DataFrame:
+    """The candidates of a level all of whose subsets of that level are among ``sets``."""
+    found = candidates(sets)
+    each = found.select("items", F.explode(subsets(F.col("items"))).alias("_part")).join(sets.select(F.col("items").alias("_part")), "_part")
+    return each.groupBy("items").agg(F.count("*").alias("_n")).where(F.col("_n") == F.size("items")).select("items")
+
+
 def itemset_support(found: DataFrame, sets: DataFrame, kind: str = "document") -> DataFrame:
     """(items, support) of given itemsets, 0 for those that never occur."""
     wanted = sets.select("items").distinct()
@@ -106,7 +114,7 @@ def itemset_support(found: DataFrame, sets: DataFrame, kind: str = "document") -
 def lift(pairs: DataFrame, items: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(a, b, support, lift): the pair's share over the product of the items' shares; n_docs holds one row (n)."""
     out = pairs.join(items.select(F.col("item").alias("a"), F.col("support").alias("na")), "a").join(items.select(F.col("item").alias("b"), F.col("support").alias("nb")), "b")
-    n = F.col("n").cast("double")
+    n = F.col("n").cast("double")  # of the one row that n_docs has
     return out.crossJoin(F.broadcast(n_docs)).select("a", "b", "support", ((F.col("support") / n) / ((F.col("na") / n) * (F.col("nb") / n))).alias("lift"))
 
 

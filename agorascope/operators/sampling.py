@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import Steps
+from .vocab import numbered
+
 
 def draw(*keys: Column | str, seed: int = 0) -> Column:
     """An md5 hash in hex, the same in any engine, keyed by ``seed``."""
@@ -42,16 +45,37 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int, seed: in
     return dealt.withColumn("fold", F.pmod(F.col("_before") + F.row_number().over(order) - 1, F.lit(folds)).cast("int")).select(*rows.columns, "fold")
 
 
-def negatives(left: DataFrame, right: DataFrame, positives: DataFrame, per: int = 1, seed: int = 0, slots: int = 1024) -> DataFrame:
-    """(a, b): for each a of left ``per`` drawn b of right that is no positive (a, b).
+def negatives(left: DataFrame, right: DataFrame, positives: DataFrame, per: int = 1, seed: int = 0, rounds: int = 4) -> DataFrame:
+    """(a, b): for each a of left ``per`` drawn b of right that are no positives (a, b), all different.
 
-    Both sides fall into hashed slots; a draws a slot and takes the slot's b of the least keyed hash that is not a
-    positive. Slots without such a b give nothing.
+    The right side is numbered; each a draws numbers by a keyed hash, so what meets is one row a draw. Draws that hit a
+    positive or an earlier draw are made again, ``rounds`` times; what is still missing then is taken from as many numbers in a
+    row as must hold enough others. An a with fewer than ``per`` others gets all of them.
     """
-    tries = left.select("a", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("k")).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "a", "k"), F.lit(slots)))
-    pool = right.select("b", F.pmod(F.xxhash64(F.lit(seed + 1), "b"), F.lit(slots)).alias("slot"))
-    met = tries.join(pool, "slot").join(positives.select("a", "b"), ["a", "b"], "left_anti")
-    return met.groupBy("a", "k").agg(F.min_by("b", F.xxhash64(F.lit(seed + 2), "a", "k", "b")).alias("b")).select("a", "b").distinct()
+    steps = Steps(left.sparkSession, "negatives")
+    pool = steps.save(numbered(right.select("b").distinct(), "b", 0, "_rank"))
+    n = pool.count()
+    taken = steps.save(positives.select("a", "b").distinct())
+    open_ = steps.save(left.select("a").distinct().withColumn("_need", F.lit(per)))
+    out = None
+    for k in range(rounds if n else 0):
+        drawn = open_.select("a", "_need", F.explode(F.sequence(F.lit(1), F.col("_need"))).alias("_k"))
+        drawn = drawn.withColumn("_rank", F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "a", "_k"), F.lit(n)))
+        got = steps.save(drawn.join(pool, "_rank").select("a", "b").distinct().join(taken, ["a", "b"], "left_anti"))
+        out = got if out is None else out.unionByName(got)
+        taken = taken.unionByName(got)
+        have = got.groupBy("a").agg(F.count("*").alias("_have"))
+        open_ = steps.save(open_.join(have, "a", "left").select("a", (F.col("_need") - F.coalesce("_have", F.lit(0))).cast("int").alias("_need")).where("_need > 0"))
+        if not open_.limit(1).count():
+            return out
+    # of as many numbers in a row as an a has taken, and those it needs, enough are free
+    have = taken.join(open_.select("a"), "a", "left_semi").groupBy("a").agg(F.count("*").alias("_have"))
+    probes = F.least(F.col("_need") + F.coalesce("_have", F.lit(0)), F.lit(n)).cast("int")
+    rows = open_.join(have, "a", "left").select("a", "_need", F.explode(F.sequence(F.lit(1), probes)).alias("_k")) if n else open_.select("a", "_need", F.lit(0).alias("_k"))
+    rest = rows.withColumn("_rank", F.pmod(F.xxhash64(F.lit(seed), "a") + F.col("_k"), F.lit(max(n, 1)))).join(pool, "_rank").join(taken, ["a", "b"], "left_anti")
+    order = Window.partitionBy("a").orderBy(F.xxhash64(F.lit(seed), "a", "b"), "b")
+    rest = rest.withColumn("_r", F.row_number().over(order)).where("_r <= _need").select("a", "b")
+    return rest if out is None else out.unionByName(rest)
 
 
 def best_epoch(scores: DataFrame, run: str, epoch: str, score: str) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .steps import Steps
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 1_000) -> DataFrame:
-    """(child, ancestor, depth from 1) along edges(child, parent); each post has at most one parent.
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(child, ancestor, depth from 1) along edges(child, parent), to any depth. A post has one parent: of several edges
+    of a post that with the greatest parent counts, the others are no replies.
 
     Path doubling: each round joins the chains found so far with themselves, so a chain of d posts takes log2 d rounds.
-    A cycle ends where a post would come again; ``most`` bounds the depth.
+    A cycle ends where a post would come again: its depths are less than its length, so a round finds nothing more.
     """
     steps = Steps(edges.sparkSession, "ancestors")
     reach = 1
     chains = steps.save(edges.where(F.col(parent).isNotNull()).groupBy(F.col(child).alias("child")).agg(F.max(parent).alias("ancestor")).where("child <> ancestor").withColumn("depth", F.lit(1)))
-    while reach < most:
+    while True:
         far = chains.where(F.col("depth") == reach).select("child", F.col("ancestor").alias("via"))
         ahead = chains.select(F.col("child").alias("via"), F.col("ancestor").alias("next"), F.col("depth").alias("d"))
         more = far.join(ahead, "via").where("next <> child").select("child", F.col("next").alias("ancestor"), (F.col("d") + reach).alias("depth"))
@@ -45,6 +46,24 @@ def earlier(rows: DataFrame, group: str, pos: str, text: str) -> DataFrame:
     return rows.withColumn("context", F.collect_list(text).over(w)).withColumn("n_before", F.size("context"))
 
 
+def mentions_so_far(rows: DataFrame, group: str, pos: str, entities: str) -> DataFrame:
+    """Rows with newest and oldest, the entities of the nearest and of the earliest row before that has any (else empty),
+    and seen, the distinct entities up to this row in the order of their first row.
+
+    No row carries the rows before it: newest and oldest are running values, and seen comes from each entity's first
+    place in its group, a list as long as the dictionary at most.
+    """
+    w = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    some = F.when(F.size(entities) > 0, F.col(entities))
+    empty = F.array().cast(rows.schema[entities].dataType)
+    firsts = rows.select(F.col(group), F.col(pos).alias("_at"), F.posexplode(entities).alias("_k", "_e")).groupBy(group, "_e").agg(F.min(F.struct("_at", "_k")).alias("_p"))
+    firsts = firsts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_p", "_e"))).alias("_firsts"))
+    out = rows.withColumn("newest", F.coalesce(F.last(some, ignorenulls=True).over(w), empty)).withColumn("oldest", F.coalesce(F.first(some, ignorenulls=True).over(w), empty))
+    out = out.join(firsts, group, "left")
+    here = F.transform(F.filter("_firsts", lambda f: f["_p"]["_at"] <= F.col(pos)), lambda f: f["_e"])
+    return out.withColumn("seen", F.coalesce(here, empty)).drop("_firsts")
+
+
 def previous_pairs(sentences: DataFrame, parents: DataFrame, post: str = "post", pos: str = "pos", text: str = "text") -> DataFrame:
     """(post, pos, previous, text): the sentence before, for a post's first the last of its parent post."""
     last = sentences.groupBy(F.col(post).alias("parent")).agg(F.max_by(text, pos).alias("_last"))
@@ -93,5 +112,5 @@ def islands(rows: DataFrame, order: str, value: str, group: str) -> DataFrame:
 def running_bags(rows: DataFrame, group: str, pos: str, tokens: str = "tokens", below: int = 30) -> DataFrame:
     """(group, pos, bag): for each row the sorted tokens of its group so far, where fewer than ``below``."""
     w = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("bag", F.flatten(F.collect_list(tokens).over(w))).where(F.size("bag") < below)
-    return found.select(group, pos, F.array_sort("bag").alias("bag"))
+    few = rows.withColumn("_total", F.sum(F.size(tokens)).over(w)).where(F.col("_total") < below)  # a group's first rows only
+    return few.select(group, pos, F.array_sort(F.flatten(F.collect_list(tokens).over(w))).alias("bag"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import padded
+from .steps import Steps
 
 
 def exploded(docs: DataFrame, id: str, tokens: Column) -> DataFrame:
@@ -25,20 +26,21 @@ def document_counts(tokens: DataFrame, id: str, token: str = "token") -> DataFra
 
 
 def vocabulary(tokens: DataFrame, first: int = 5, least: int = 1) -> DataFrame:
-    """(token, idx): ids from ``first`` in the order of the tokens. Ranked by a range sort, then by partition."""
+    """(token, idx): ids from ``first`` in the order of the tokens."""
     words = token_counts(tokens).where(F.col("n") >= least).select("token")
     return numbered(words, "token", first)
 
 
 def numbered(rows: DataFrame, by: str, first: int = 0, name: str = "idx") -> DataFrame:
-    """Dense numbers in the order of a distinct column, without a single sorting task: leading characters part the
-    column into ranges, whose sizes are summed up."""
-    keyed = rows.withColumn("_range", F.substring(F.col(by).cast("string"), 1, 2))
-    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # one row a pair of characters
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(by))
-    return keyed.join(starts, "_range").withColumn(name, F.col("_before") + rank + (first - 1)).drop("_range", "_before")
+    """Dense numbers in the order of a distinct column, without a single sorting task: Spark parts the column into sampled
+    ranges of like size, each is sorted by itself and written, and the ranges' sizes are summed up."""
+    steps = Steps(rows.sparkSession, "numbered")
+    placed = steps.save(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    at = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + at + first).drop("_at", "_part", "_before")
 
 
 def index_tokens(tokens: DataFrame, vocab: DataFrame, id: str, unknown: int = 1, size: int | None = None) -> DataFrame:
@@ -70,9 +72,20 @@ def with_clusters(tokens: DataFrame, clusters: DataFrame, offset: int = 1_000_00
     return found.withColumn("item", F.coalesce(F.col("cluster_id") + F.lit(offset), F.col("item"))).drop("cluster_id")
 
 
-def reversed_vocabulary(vocab: DataFrame) -> DataFrame:
-    """(word, idx): of repeated words the last id."""
-    return vocab.groupBy("word").agg(F.max("idx").alias("idx"))
+def reversed_vocabulary(vocab: DataFrame, order: str | None = None) -> DataFrame:
+    """(word, idx): of repeated words the id of the last line; ``order`` names a column of line numbers, without one the
+    greatest id is the last."""
+    return vocab.groupBy("word").agg(F.max_by("idx", order or "idx").alias("idx"))
+
+
+def vector_matrix(vocab: DataFrame, vectors: DataFrame, dim: int, first: int = 5, seed: int = 0, width: float = 0.25) -> DataFrame:
+    """(row, token, vector): a dense embedding matrix as rows. Rows 0 to first - 1 are the reserved ids, row 0 (padding)
+    of zeros; then come the vocabulary's words that have a vector, in the order of their ids, and then the others."""
+    found = vectors_for(vocab, vectors, dim, seed, width)
+    placed = numbered(found.withColumn("_key", F.concat(F.when(F.col("known"), "0").otherwise("1"), F.lpad(F.col("idx").cast("string"), 20, "0"))), "_key", first, "row")
+    draw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("row") == 0, 0.0).otherwise((F.pmod(F.xxhash64(F.lit(seed), F.col("row"), i), F.lit(1 << 30)) / F.lit(float(1 << 30)) * 2 - 1) * width).cast("float"))
+    reserved = vocab.sparkSession.range(first).select(F.col("id").alias("row")).select("row", F.lit(None).cast("string").alias("token"), draw.alias("vector"))
+    return reserved.unionByName(placed.select(F.col("row").cast("long").alias("row"), "token", "vector"))
 
 
 def vectors_for(vocab: DataFrame, vectors: DataFrame, dim: int, seed: int = 0, width: float = 0.25) -> DataFrame:

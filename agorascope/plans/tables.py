@@ -5,38 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import latin_tokens
+from ..functions.text import word_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, tokens)"""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), latin_tokens(F.col("text")).alias("tokens"))
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, tokens) of all documents, in whatever language"""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), word_tokens(F.col("text")).alias("tokens"))
 
 
-def english_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, item), distinct"""
-    return english(spark, sf_dir).select("doc", F.explode(F.array_distinct("tokens")).alias("item"))
+    return words(spark, sf_dir).select("doc", F.explode(F.array_distinct("tokens")).alias("item"))
 
 
-def least_support(spark: SparkSession, sf_dir: str, share: float) -> int:
-    """The support that a share of the English documents makes, at least 20."""
-    n = table(spark, sf_dir, "documents").where("lang = 'en'").count()
-    return max(20, -(-n * round(share * 100) // 100))
+#: The surveyed toolkit's least supports: of itemsets in general, and of pairs with a marked item.
+LEAST, MARKED_LEAST = 20, 10
 
-
-def least_sql(share: float) -> str:
-    return f"(SELECT greatest(20, CAST(ceil(count(*) * {round(share * 100)} / 100.0) AS BIGINT)) FROM documents WHERE lang = 'en')"
-
-
-#: English documents' distinct tokens, and all their tokens.
-ITEMS = "items AS (SELECT DISTINCT doc, item FROM (SELECT doc_id AS doc, unnest(string_split_regex(lower(text), '[^a-z]+')) AS item FROM documents WHERE lang = 'en') WHERE item <> '')"
-TOKENS = """tokens AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS INTEGER) AS pos, token FROM (
-  SELECT doc_id AS doc, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token, generate_subscripts(string_split_regex(lower(text), '[^a-z]+'), 1) AS i
-  FROM documents WHERE lang = 'en') WHERE token <> '')"""
+_SPLIT = "string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')"
+#: Documents' distinct tokens, and all their tokens.
+ITEMS = f"items AS (SELECT DISTINCT doc, item FROM (SELECT doc_id AS doc, unnest({_SPLIT}) AS item FROM documents) WHERE item <> '')"
+TOKENS = f"""tokens AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS INTEGER) AS pos, token FROM (
+  SELECT doc_id AS doc, unnest({_SPLIT}) AS token, generate_subscripts({_SPLIT}, 1) AS i
+  FROM documents) WHERE token <> '')"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

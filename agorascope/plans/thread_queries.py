@@ -58,17 +58,27 @@ def mentions_in_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.named_in_thread(rows.select("conv_id", "turn", "text"), rows, "conv_id", "text", "user").select("conv_id", "turn", "named")
 
 
+def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, text, target_groups): turns with the groups that they mention"""
+    return turns(spark, sf_dir).select("conv_id", "turn", "text", E.mentioned(F.col("text"), ENTITIES).alias("target_groups"))
+
+
+def running_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case, target_groups, newest, oldest, seen): each turn with what its conversation has mentioned so far, without
+    its earlier texts."""
+    found = H.mentions_so_far(mentioning(spark, sf_dir), "conv_id", "turn", "target_groups")
+    return found.withColumn("case", F.concat_ws("-", "conv_id", "turn"))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case, target, context, target_groups, context_groups): each turn with its conversation's earlier turns. Mentions
-    are found once for each turn and gathered, not once for each context they stand in."""
-    rows = turns(spark, sf_dir).withColumn("groups", E.mentioned(F.col("text"), ENTITIES))
-    found = H.earlier(rows.withColumn("entry", F.struct("text", "groups")), "conv_id", "turn", "entry")
+    """(case, target, context, target_groups, context_groups): each turn with its conversation's earlier turns, for the
+    solvers that read these texts. Mentions are found once for each turn and gathered."""
+    found = H.earlier(mentioning(spark, sf_dir).withColumn("entry", F.struct("text", F.col("target_groups").alias("groups"))), "conv_id", "turn", "entry")
     return found.select(
-        F.concat_ws("-", "conv_id", "turn").alias("case"), F.col("text").alias("target"), F.transform("context", lambda e: e["text"]).alias("context"), F.col("groups").alias("target_groups"), F.transform("context", lambda e: e["groups"]).alias("context_groups")
+        F.concat_ws("-", "conv_id", "turn").alias("case"), F.col("text").alias("target"), F.transform("context", lambda e: e["text"]).alias("context"), "target_groups", F.transform("context", lambda e: e["groups"]).alias("context_groups")
     )
 
 
-
 def listed(groups: Column) -> Column:
     return F.array_join(F.array_sort(groups).cast("array<string>"), ",")
 
@@ -79,19 +89,19 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solver_target_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).select("case", listed(E.target_only()).alias("answer"))
+    return running_cases(spark, sf_dir).select("case", listed(E.target_only()).alias("answer"))
 
 
 def solver_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).select("case", listed(E.recent()).alias("answer"))
+    return running_cases(spark, sf_dir).select("case", listed(E.running_recent()).alias("answer"))
 
 
 def solver_recents_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).select("case", listed(E.recents_first()).alias("answer"))
+    return running_cases(spark, sf_dir).select("case", listed(E.running_recents_first()).alias("answer"))
 
 
 def solver_first_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).select("case", listed(E.first_only()).alias("answer"))
+    return running_cases(spark, sf_dir).select("case", listed(E.running_first_only()).alias("answer"))
 
 
 def solver_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +112,18 @@ def solver_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).select("case", listed(E.cascade(ENTITIES)).alias("answer"))
 
 
-def gold(found: DataFrame) -> DataFrame:
+def with_gold(found: DataFrame) -> DataFrame:
     """A gold derived from the data: the case's groups with an odd number."""
-    return found.withColumn("gold", F.filter(E.all_groups(), lambda g: g % 2 == 1))
+    return found.withColumn("gold", F.filter("seen" if "seen" in found.columns else E.all_groups(), lambda g: g % 2 == 1))
 
 
 def ea_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gold(cases(spark, sf_dir)).withColumn("answer", E.first_only())
+    found = with_gold(running_cases(spark, sf_dir)).withColumn("answer", E.running_first_only())
     return E.accuracy(found, "gold", "answer").withColumn("accuracy", F.round("accuracy", 6))
 
 
 def ea_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gold(cases(spark, sf_dir)).withColumn("answer", E.first_only())
+    found = with_gold(running_cases(spark, sf_dir)).withColumn("answer", E.running_first_only())
     out = E.hidden_scores(found, "gold", "answer")
     return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
@@ -125,6 +135,7 @@ def last_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each case's groups; distances are in turns."""
     return E.features(cases(spark, sf_dir)).select("case", "group", *E.FEATURES)
 
 
@@ -255,6 +266,12 @@ p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) END AS p
 SELECT tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall + 0.01), 6) AS f FROM p""",
     "last_mentions": f"""WITH {_GROUPS}, e AS (SELECT c.conv_id, c.turn, max(x.turn) AS seen, max_by(x.groups, x.turn) AS g FROM groups c LEFT JOIN groups x ON c.conv_id = x.conv_id AND x.turn < c.turn AND len(x.groups) > 0 GROUP BY c.conv_id, c.turn)
 SELECT conv_id, turn, coalesce(array_to_string(g, ','), '') AS last_entities, coalesce(turn - seen, -1) AS distance FROM e""",
+    "entity_features": f"""WITH {_CASES}, said AS (SELECT c.conv_id, c.turn, e.turn AS at, unnest(e.groups) AS g FROM groups c JOIN groups e ON c.conv_id = e.conv_id AND e.turn <= c.turn),
+ranked AS (SELECT conv_id, turn, g, row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, g) AS r FROM said GROUP BY conv_id, turn, g),
+far AS (SELECT c.conv_id, c.turn, c.turn - max(x.turn) AS d FROM groups c JOIN groups x ON c.conv_id = x.conv_id AND x.turn < c.turn AND len(x.groups) > 0 GROUP BY c.conv_id, c.turn)
+SELECT "case", r.g AS "group", CAST(len(groups) > 0 AS INTEGER) AS has_entity, 0 AS comparative, CAST(coalesce(d, -1) AS INTEGER) AS distance, CAST(list_contains(newest, r.g) AS INTEGER) AS as_previous,
+  CAST(list_contains(oldest, r.g) AS INTEGER) AS as_first, CAST(r.r = 1 AS INTEGER) AS most_frequent, CAST(list_contains(groups, r.g) AS INTEGER) AS current
+FROM cases c JOIN ranked r ON c.conv_id = r.conv_id AND c.turn = r.turn LEFT JOIN far ON c.conv_id = far.conv_id AND c.turn = far.turn""",
     "dictionary_coverage": f"""WITH {_GROUPS}, s AS (SELECT sum(len(groups)) AS f, sum(len(list_distinct(list_slice({entities_sql('text')}, 3, 9)))) AS p FROM groups)
 SELECT CAST(f AS BIGINT) AS n_full, CAST(p AS BIGINT) AS n_part, round(p / CAST(f AS DOUBLE), 6) AS ratio FROM s""",
     "label_join": "SELECT doc_id, quality, toxic, lang, n_chars FROM labels JOIN documents USING (doc_id)",

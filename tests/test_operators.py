@@ -166,8 +166,13 @@ def test_folds_keep_groups_together(spark):
 def test_negatives_are_no_positives(spark):
     left, right = spark.range(20).select(F.col("id").alias("a")), spark.range(20).select(F.col("id").alias("b"))
     positives = left.select("a", F.col("a").alias("b"))
-    got = S.negatives(left, right, positives, per=2, slots=4).collect()
-    assert got and all(r["a"] != r["b"] for r in got)
+    got = {(r["a"], r["b"]) for r in S.negatives(left, right, positives, per=2).collect()}
+    assert len(got) == 40 and all(a != b for a, b in got) and {a for a, _ in got} == set(range(20))
+    # all but one or two of the right side are positives
+    most = left.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("b")).where("b <> (a + 1) % 20 AND (a > 4 OR b <> a + 2)")
+    got = {(r["a"], r["b"]) for r in S.negatives(left, right, most, per=2).collect()}
+    assert got == {(a, (a + 1) % 20) for a in range(20)} | {(a, a + 2) for a in range(5)}
+    assert S.negatives(left, right.limit(0), positives).collect() == []
 
 
 def test_frames():
@@ -186,10 +191,14 @@ def test_recovery(spark):
     assert [r["recovered"] for r in R.recovered(rows, frames).collect()] == [["we", "bus"], []]
 
 
-def test_trees():
+def test_trees(spark):
     text = "(S (NP (N cat)) (S (VP (V sees) (N dog))))"
     assert R.parse_tree(text)[0] == (0, -1, "S", "") and len(R.parse_tree(text)) == 7
-    assert R.lowest_clauses(text, "dog") == ["sees dog"] and R.lowest_clauses(text, "cat") == ["cat sees dog"] and R.lowest_clauses(text, "cow") == []
+    rows = [(1, text), (2, "(S (S (N cat)) (S (S (N cat) (V and) (N cat)) (V naps)))"), (3, "(X (N cat))"), (4, None)]
+    nodes = R.trees(spark.createDataFrame(rows, "id long, tree string"), "id", "tree")
+    found = lambda entity: sorted((r["id"], r["text"]) for r in R.lowest_clauses(nodes, entity).collect())
+    assert found("dog") == [(1, "sees dog")] and found("cow") == []
+    assert found("cat") == [(1, "cat sees dog"), (2, "cat"), (2, "cat and cat")]
 
 
 def test_maxent_learns_and_scores_alike(spark):
@@ -199,3 +208,66 @@ def test_maxent_learns_and_scores_alike(spark):
     got = {(tuple(r["features"])): r["predicted"] for r in M.classify(df.distinct(), model).collect()}
     assert all(got[f] == model.classify(list(f)) for f in got)
     assert got[(1, 0)] == 2 and got[(0, 1)] == 1
+
+
+def test_chains_of_any_depth(spark):
+    n = 150
+    edges = spark.range(1, n).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    got = H.ancestors(edges).groupBy("child").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()
+    assert {r["child"]: (r["n"], r["d"]) for r in got} == {i: (i, i) for i in range(1, n)}
+    several = spark.createDataFrame([(5, 1), (5, 3), (3, 1)], "child long, parent long")
+    assert {(r["child"], r["ancestor"]) for r in H.ancestors(several).collect()} == {(5, 3), (5, 1), (3, 1)}
+    up = spark.range(80).select(F.col("id").alias("node"), (F.col("id") + 1).alias("parent"))
+    assert R.closure(spark.createDataFrame([(1, 0)], "start long, node long"), up).count() == 81
+
+
+def test_running_values_equal_arrays(spark):
+    rng = random.Random(5)
+    rows = [(c, t, [g for g in range(4) if rng.random() < 0.3]) for c in range(6) for t in range(9)]
+    found = H.mentions_so_far(spark.createDataFrame(rows, "c long, t long, groups array<int>"), "c", "t", "groups").collect()
+    for r in found:
+        before = [g for c, t, g in rows if c == r["c"] and t < r["t"] and g]
+        assert r["newest"] == (before[-1] if before else []) and r["oldest"] == (before[0] if before else [])
+        assert r["seen"] == list(dict.fromkeys(x for g in [*before, r["groups"]] for x in g))
+
+
+def test_mentions_join_equals_patterns(spark):
+    texts = ["SM5 탄다", "현대SM5", "xSM5", "아현대", "9sm5 and k5", "A\\E b", "", "k5.k5?sm5", "né k7", "ék7 k7"]
+    forms = [(1, "sm5"), (2, "k5"), (3, "k7"), (4, "현대"), (5, "\\E b"), (6, "A\\E")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    by_pattern = rows.select("id", F.explode(E.mentioned(F.col("text"), forms)).alias("g")).collect()
+    by_join = E.mentions(rows, spark.createDataFrame(forms, "group_id int, form string"), "id", "text").collect()
+    assert {(r["id"], r["g"]) for r in by_pattern} == {(r["id"], r["group_id"]) for r in by_join} and by_pattern
+    assert E.mentions(rows, spark.createDataFrame([], "group_id int, form string"), "id", "text").collect() == []
+
+
+def test_numbers_are_dense_in_any_ranges(spark):
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 20, "0").alias("w")).repartition(7)
+    got = {r["w"]: r["n"] for r in vocab.numbered(rows, "w", 5, "n").collect()}
+    assert got == {str(i).zfill(20): i + 5 for i in range(1000)}
+
+
+def test_vector_matrix(spark):
+    words = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "token string, idx long")
+    vectors = spark.createDataFrame([("c", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, vector array<float>")
+    got = {r["row"]: (r["token"], r["vector"]) for r in vocab.vector_matrix(words, vectors, 2).collect()}
+    assert sorted(got) == list(range(8)) and got[0] == (None, [0.0, 0.0]) and got[5] == ("b", [3.0, 4.0]) and got[6] == ("c", [1.0, 2.0]) and got[7][0] == "a"
+    assert all(-0.25 <= x <= 0.25 for i in (1, 2, 3, 4, 7) for x in got[i][1])
+
+
+def test_edges_in_many_cells(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.standard_normal((150, 3)), 0.01 * rng.standard_normal((50, 3))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    want = {(a, b) for a, b in combinations(range(200), 2) if ((x[a] - x[b]) ** 2).sum() < 0.1}
+    found = C.pivot_edges(points, 0.1, block=16).collect()
+    assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+    assert all(abs(r["d2"] - ((x[r["a"]] - x[r["b"]]) ** 2).sum()) < 1e-12 for r in found)
+
+
+def test_leader_sweep(spark):
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(12)], "id long, vector array<double>")
+    got = C.multi_leader(points, [0.0, 1.0, 200.0]).collect()
+    leaders_of = lambda e: {r["leader"] for r in got if r["eps"] == e}
+    assert len(leaders_of(0.0)) == 12 and len(leaders_of(200.0)) == 1 and 4 <= len(leaders_of(1.0)) <= 6
+    assert all(abs(r["id"] - r["leader"]) <= 1 for r in got if r["eps"] == 1.0)
