@@ -5,8 +5,8 @@ Both are bag models of hashed n-grams: words and runs of signs of the lower-case
 documents (the least by a hash of their id; the bound is this parameter). A document's log weight is the sum of its
 n-grams' log ratios. Documents are sampled without replacement by Gumbel top-k: a keyed draw is added to each log
 weight, and the k greatest are selected, no more and no fewer. Unless ``k`` is given, k is the ``share`` of all
-documents; unless that is given either, it is the upper limit of the share of good documents, as estimated from all
-labels with ``sure`` standard errors.
+documents; unless that is given either, it is the share of good ones among all labelled documents and ``spare`` of the
+others, as by chance some of these come before some good ones.
 
 Scale: counts leave each task as one row a bucket; the model is ``buckets`` numbers; the k-th greatest value is found by
 descending through the 64 bits of an order-preserving key, 16 a round, so that no sort or top-k passes through one task.
@@ -83,12 +83,11 @@ def kth_greatest(df: DataFrame, key: str, k: int) -> tuple[int, int] | None:
     return prefix, left
 
 
-def good_share(labels: DataFrame, sure: float) -> float:
-    """The upper limit of the share of good ones among labelled documents; 1 without labels."""
+def good_share(labels: DataFrame) -> float:
+    """The share of good ones among labelled documents; 1 without labels."""
     each = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    r = each.agg(F.count("*").alias("n"), F.avg((F.col("q") == 1).cast("double")).alias("p")).first()
-    n, p = r["n"], r["p"] or 0.0
-    return min(1.0, p + sure * math.sqrt(p * (1 - p) / n)) if n else 1.0
+    p = each.agg(F.avg((F.col("q") == 1).cast("double")).alias("p")).first()["p"]
+    return 1.0 if p is None else p
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets: int, sample: int) -> np.ndarray:
@@ -119,7 +118,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None, share: float | None = None, sure: float = 3.0, buckets: int = 10_000, sample: int = 20_000, seed: int = 1
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None, share: float | None = None, spare: float = 0.05, buckets: int = 10_000, sample: int = 20_000, seed: int = 1
 ) -> DataFrame:
     """The documents with log_weight double, gumbel_key double, selected boolean; labels: (doc_id, quality)."""
     steps = Steps(docs.sparkSession, "quality")
@@ -144,7 +143,7 @@ def resample(
     scored = steps.save(docs.mapInArrow(score, schema).withColumn("__q_row", F.monotonically_increasing_id()))
     if k is None:
         if share is None:
-            share = good_share(labels, sure) if ratio.any() else 1.0
+            share = 1 - (1 - good_share(labels)) * (1 - spare) if ratio.any() else 1.0
         k = math.ceil(share * scored.count())
     found = kth_greatest(scored, "__q_order", k)
     if found is None:
