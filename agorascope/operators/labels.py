@@ -88,3 +88,9 @@ def fold_summary(scores: DataFrame, score: str) -> DataFrame:
 def regrouped(rows: DataFrame, thread: str, pos: str) -> DataFrame:
     """Rows with the position at which their thread begins, to be ordered by (begin, pos)."""
     return rows.withColumn("begin", F.min(pos).over(Window.partitionBy(thread)))
+
+
+def estimate_summary(cases: DataFrame, gold: str, found: str) -> DataFrame:
+    """(n, right, over, under, other): answers that equal the gold, hold more, hold less, or differ both ways."""
+    more, less = F.size(F.array_except(found, gold)) > 0, F.size(F.array_except(gold, found)) > 0
+    return cases.agg(F.count("*").alias("n"), F.count_if(~more & ~less).alias("right"), F.count_if(more & ~less).alias("over"), F.count_if(~more & less).alias("under"), F.count_if(more & less).alias("other"))

@@ -7,7 +7,7 @@ Indicator functions are (position, value >= 0, label); values never seen at 0 or
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_CELLS = 200_000
@@ -95,3 +95,13 @@ def classify(rows: DataFrame, model: MaxEnt) -> DataFrame:
 
     each = F.transform(F.sequence(F.lit(1), F.lit(model.labels)), lambda y: F.struct(score(y).alias("s"), (-y).alias("y")))
     return rows.withColumn("predicted", -F.array_max(each)["y"])
+
+
+def to_table(spark: SparkSession, model: MaxEnt) -> DataFrame:
+    """(position, value, label, weight), to be written."""
+    return spark.createDataFrame([(*k, w) for k, w in sorted(model.weights.items())], "position int, value int, label int, weight double")
+
+
+def from_table(weights: DataFrame) -> MaxEnt:
+    rows = weights.limit(MOST_CELLS).collect()
+    return MaxEnt({(r["position"], r["value"], r["label"]): r["weight"] for r in rows}, max(r["label"] for r in rows))

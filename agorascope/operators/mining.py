@@ -161,3 +161,8 @@ def sizes(found: DataFrame, words_below: int = 10_000_000) -> DataFrame:
 def token_bags(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(bag, n): documents with the same tokens in any order, counted."""
     return docs.groupBy(F.array_sort(tokens).alias("bag")).agg(F.count("*").alias("n"))
+
+
+def ordered(sets: DataFrame) -> DataFrame:
+    """Itemsets (items) by size, then item by item."""
+    return sets.orderBy(F.size("items"), "items")

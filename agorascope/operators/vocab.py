@@ -93,3 +93,21 @@ def vectors_for(vocab: DataFrame, vectors: DataFrame, dim: int, seed: int = 0, w
     drawn = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((F.pmod(F.xxhash64(F.lit(seed), F.col("token"), i), F.lit(1 << 30)) / F.lit(float(1 << 30)) * 2 - 1) * width).cast("float"))
     found = vocab.join(vectors.select(F.col("word").alias("token"), "vector"), "token", "left")
     return found.select("idx", "token", F.coalesce("vector", drawn).alias("vector"), F.col("vector").isNotNull().alias("known"))
+
+
+def readable(indexed: DataFrame, vocab: DataFrame, members: DataFrame, id: str, most: int = 10, offset: int = 1_000_000) -> DataFrame:
+    """(id, text): ids as words; an id above ``offset`` is a cluster and is shown as g[...] with its first ``most`` words.
+    members (cluster_id, word)."""
+    named = members.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_set("word")), 1, most).alias("_w"))
+    shown = named.select((F.col("cluster_id") + F.lit(offset)).alias("idx"), F.concat(F.lit("g["), F.array_join("_w", ","), F.lit(",]")).alias("token"))
+    return texts_of(indexed, vocab.select("idx", "token").unionByName(shown), id)
+
+
+def contains_category(items: DataFrame, members: DataFrame, id: str = "doc") -> DataFrame:
+    """(id, category) of documents (id, item) that hold a word of it; members (item, category)."""
+    return items.join(members, "item").select(id, "category").distinct()
+
+
+def first_of_category(tokens: DataFrame, members: DataFrame, id: str = "doc") -> DataFrame:
+    """(id, category, item): the first token of each category in a document (id, pos, item)."""
+    return tokens.join(members, "item").groupBy(id, "category").agg(F.min_by("item", "pos").alias("item"))

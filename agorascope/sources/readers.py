@@ -6,7 +6,7 @@ are decoded by Spark where ``spark.sql.legacy.javaCharsets`` allows it (``korean
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,7 +59,7 @@ def read_sentence_labels(spark: SparkSession, path: str, encoding: str = "UTF-8"
 
 
 def entity_list(column: Column) -> Column:
-    return F.when(F.trim(column) == "-", F.array().cast("array<string>")).otherwise(F.transform(F.split(column, ","), F.trim))
+    return F.when(F.trim(column) == "-", F.array().cast("array<string>")).otherwise(F.transform(F.split(column, ","), lambda x: F.trim(x)))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -217,3 +217,44 @@ def read_sqlite(spark: SparkSession, path: str, table: str, names: list[str]) ->
                         yield pd.DataFrame([[None if x is None else str(x) for x in r] for r in some], columns=names)
 
     return spark.createDataFrame([(path, table)], "path string, table string").mapInPandas(rows, strings(names))
+
+
+def posts_only(articles: DataFrame) -> DataFrame:
+    """Articles whose text type is 0: posts, no replies."""
+    return articles.where("text_type = 0")
+
+
+def between_lines(found: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Rows of ``lines`` numbered from ``start`` to before ``stop``."""
+    return found.where((F.col("line_no") >= start) & (F.lit(stop is None) | (F.col("line_no") < F.lit(stop))))
+
+
+def read_categories(spark: SparkSession, words: str, synsets: str, translations: str, encoding: str = "EUC-KR") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three files of a word network, as ``frames.categories`` takes them: words (word_id, word), translations
+    (synset_id, word_id, name), synsets (synset_id, offset, name, parents). A parent is written offset_rest."""
+    own = read_csv(spark, words, ["word_id", "word"], encoding)
+    nets = read_csv(spark, synsets, ["synset_id", "offset", "name", "kind", "above"], encoding)
+    parents = F.filter(F.transform(F.split(F.coalesce("above", F.lit("")), ","), lambda x: F.trim(F.split(x, "_")[0])), lambda x: x != "")
+    found = read_csv(spark, translations, ["id", "synset_id", "a", "word_id", "b", "c", "name"], encoding)
+    return own, found.select("synset_id", "word_id", "name"), nets.select("synset_id", F.trim("offset").alias("offset"), "name", parents.alias("parents"))
+
+
+def read_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(features, label) from lines of comma-separated numbers, the label last."""
+    parts = F.transform(F.split(F.trim("value"), ","), lambda x: x.cast("double"))
+    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(parts.alias("p"))
+    return raw.select(F.slice("p", F.lit(1), F.size("p") - 1).alias("features"), F.element_at("p", -1).cast("int").alias("label"))
+
+
+def read_polarity(spark: SparkSession, positive: str, negative: str, encoding: str = "UTF-8") -> DataFrame:
+    """(text, label) of two files of sentences: 1 and 0."""
+    one, two = (read_lines(spark, p, encoding).select(F.col("value").alias("text"), F.lit(y).alias("label")) for p, y in ((positive, 1), (negative, 0)))
+    return one.unionByName(two)
+
+
+def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; if there is none, what ``build`` gives is written there first."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -56,3 +56,9 @@ def write_by_label(df: DataFrame, path: str, label: str = "label") -> None:
 def write_cases(cases: DataFrame, path: str) -> None:
     """Cases (thread_id, entities, target, context) as one table; a file a case does not scale."""
     cases.write.parquet(path)
+
+
+def cluster_counts(items: DataFrame) -> DataFrame:
+    """(n_clusters, n_several): all clusters, and those with more than one item."""
+    sizes = items.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("n_clusters"), F.count_if(F.col("n") > 1).alias("n_several"))

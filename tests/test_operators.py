@@ -271,3 +271,70 @@ def test_leader_sweep(spark):
     leaders_of = lambda e: {r["leader"] for r in got if r["eps"] == e}
     assert len(leaders_of(0.0)) == 12 and len(leaders_of(200.0)) == 1 and 4 <= len(leaders_of(1.0)) <= 6
     assert all(abs(r["id"] - r["leader"]) <= 1 for r in got if r["eps"] == 1.0)
+
+
+def test_itemset_order_and_categories(spark):
+    sets = spark.createDataFrame([([2, 3],), ([1],), ([1, 9],)], "items array<int>")
+    assert [r["items"] for r in mining.ordered(sets).collect()] == [[1], [1, 9], [2, 3]]
+    tokens = spark.createDataFrame([(1, 0, "x"), (1, 1, "b"), (1, 2, "a"), (2, 0, "x")], "doc long, pos long, item string")
+    members = spark.createDataFrame([("a", "V"), ("b", "V")], "item string, category string")
+    assert [tuple(r) for r in vocab.contains_category(tokens, members).collect()] == [(1, "V")]
+    assert [tuple(r) for r in vocab.first_of_category(tokens, members).collect()] == [(1, "V", "b")]
+    indexed = spark.createDataFrame([(1, [5, 1000003, 9])], "doc long, ids array<long>")
+    words = spark.createDataFrame([("w", 5)], "token string, idx long")
+    clusters = spark.createDataFrame([(3, "b"), (3, "a")], "cluster_id long, word string")
+    assert vocab.readable(indexed, words, clusters, "doc").first()["text"] == "w g[a,b,]"
+    items = spark.createDataFrame([(7,), (8,)], "item long")
+    assert {r["item"] for r in vocab.with_clusters(items, spark.createDataFrame([(7, 2)], "item long, cluster_id long")).collect()} == {1000002, 8}
+    lines = spark.createDataFrame([("a", 9, 0), ("a", 4, 1)], "word string, idx long, line_no long")
+    assert vocab.reversed_vocabulary(lines, "line_no").first()["idx"] == 4 and vocab.reversed_vocabulary(lines).first()["idx"] == 9
+
+
+def test_label_helpers(spark):
+    rows = spark.createDataFrame([([1], [1]), ([1], [1, 2]), ([1, 2], [1]), ([1], [2])], "g array<int>, f array<int>")
+    assert tuple(L.estimate_summary(rows, "g", "f").first()) == (4, 1, 1, 1, 1)
+    marks = spark.createDataFrame([("1",), ("2",), ("3",), ("x",)], "label string")
+    assert [r[0] for r in marks.select(L.recoded(F.col("label"))).collect()] == ["positive", "neutral", "negative", None]
+    assert [r[0] for r in marks.select(L.recoded(F.col("label"), neutral=False)).collect()] == ["positive", None, "negative", None]
+    assert L.sentiment_only(marks).count() == 3 and L.label_counts(marks).count() == 4
+    assert tuple(L.success(marks, F.col("label") == "1").first()) == (4, 1, 0.25)
+    guesses = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "a")], "t string, g string")
+    assert {tuple(r) for r in L.confusion(guesses, "t", "g").collect()} == {("a", "a", 2), ("a", "b", 1)}
+    assert tuple(L.fold_summary(spark.createDataFrame([(1.0,), (3.0,)], "s double"), "s").first()) == (2.0, 1.0)
+    posts = spark.createDataFrame([(1, 5), (1, 3), (2, 4)], "thread long, pos long")
+    assert [(r["thread"], r["pos"]) for r in L.regrouped(posts, "thread", "pos").orderBy("begin", "pos").collect()] == [(1, 3), (1, 5), (2, 4)]
+
+
+def test_affinity_solver_and_groups(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case long")
+    scores = spark.createDataFrame([(1, 7, 2.5), (1, 8, 2.0), (2, 7, float("nan"))], "case long, entity int, best double")
+    assert {r["case"]: r["answer"] for r in E.by_affinity(cases, scores).collect()} == {1: [7], 2: [], 3: []}
+    entities = spark.createDataFrame([(3, "a"), (9, "b"), (9, "c"), (12, "d")], "group_id int, form string")
+    found = E.present_groups(entities, spark.createDataFrame([(9,), (12,)], "group_id int"))
+    assert {(r["form"], r["new_id"]) for r in found.collect()} == {("b", 1), ("c", 1), ("d", 2)}
+
+
+def test_context_solvers(spark):
+    forms = [(1, "sm5"), (2, "k5")]
+    rows = [("c1", "engine sounds great", ["the sm5 engine", "k5 wheels"]), ("c2", "wheels again", ["sm5 engine here", "no idea", "k5 wheels"])]
+    found = E.with_mentions(spark.createDataFrame(rows, "case string, target string, context array<string>"), forms)
+    got = {r["case"]: (r["c"], r["k"]) for r in found.select("case", E.by_context(forms).alias("c"), E.cascade(forms).alias("k")).collect()}
+    assert got == {"c1": ([1], [1]), "c2": ([2], [2])}
+
+
+def test_word_graph(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "doc long, item string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c")], "target string, dependent string")
+    assert {(r["doc"], r["item"]): r["n_near"] for r in C.neighbour_state(docs, edges).collect()} == {(1, "a"): 2, (1, "b"): 1, (1, "c"): 1, (2, "a"): 0}
+    assert {(r["doc"], r["item"]) for r in C.word_context(docs, edges).collect()} == {(1, "b"), (1, "c"), (2, "a")}
+    likely = spark.createDataFrame([("b", "a", 0.9), ("c", "a", 0.2)], "target string, dependent string, probability double")
+    now, before = spark.createDataFrame([(2, "a")], "doc long, item string"), spark.createDataFrame([(2, "b"), (2, "c")], "doc long, item string")
+    assert [tuple(r) for r in C.omissions(now, before, likely).collect()] == [(2, "b", 0.9)]
+
+
+def test_random_context_and_first_mention(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"]), (2, ["x"])], "id long, tokens array<string>")
+    r = H.random_context(rows, "id", width=2).collect()
+    assert len(r) == 1 and (r[0]["left"] + [r[0]["word"]] + r[0]["right"]) == r[0]["tokens"][max(0, r[0]["at"] - 2) : r[0]["at"] + 3]
+    turns = spark.createDataFrame([(1, 0, []), (1, 1, [4]), (1, 2, [5]), (2, 0, [])], "g long, t long, e array<int>")
+    assert [tuple(r) for r in H.first_mention(turns, "g", "t", "e").collect()] == [(1, [4])]
