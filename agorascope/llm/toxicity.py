@@ -12,7 +12,7 @@ driver gets ``most`` features and, of each sampled document, which of these it h
 texts; each worker remembers which chosen features a word has in a memo of bounded size.
 
 Edge cases: null and empty texts get the score of no feature; documents with a null id are never learned from and are
-not held out; several labels of one id count as toxic if one does; without both classes every score is the share of
+not held out; of several documents with one id one is learned from; several labels of one id count as toxic if one does; without both classes every score is the share of
 toxic labels (0 without labels); equal texts get equal scores.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, kept, shuffle_partitions
@@ -75,7 +75,7 @@ class Chooser:
 
     def __init__(self, chosen: list[int]):
         self.place = {f: i for i, f in enumerate(chosen)}
-        self.memo = Memo(400_000)
+        self.memo = Memo(200_000)
 
     def of(self, parts: list[str]) -> list[bytes]:
         return [np.array([i for w in WORD.findall(p) for f in features(w) if (i := self.place.get(f)) is not None], "<i4").tobytes() for p in parts]
@@ -116,7 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str, sample: int, m
     if not 0 < toxic < len(rows):
         return [], np.zeros(0), 40.0 if toxic else -40.0
     picked = spark.createDataFrame([(r["__t_id"], r["toxic"]) for r in rows], names.schema)
-    some = docs.select(F.col(id).alias("__t_id"), F.col(text).alias("text")).join(F.broadcast(picked), "__t_id").select("text", "toxic")
+    some = docs.select(F.col(id).alias("__t_id"), F.col(text).alias("text")).join(F.broadcast(picked), "__t_id")
+    # one document an id, so that repeated ids don't make the sample greater
+    one = F.row_number().over(Window.partitionBy("__t_id").orderBy(F.xxhash64("text"), "text"))
+    some = some.withColumn("one", one).where("one = 1").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = (Counter(), Counter())
