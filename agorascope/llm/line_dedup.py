@@ -6,13 +6,13 @@ than once anywhere are removed but for the first occurrence. Chunks are grouped
 comparison); an occurrence is matched to its group by 192 bits of hash, and only where these name a single text.
 
 Scale: the chunk texts are shuffled once after a map-side combine (a chunk that a third of all documents share leaves
-each task once), the documents once for the last join; occurrences travel as hashes. Joins on a hot chunk have one row
-on the other side; Spark does not split them, as that side is aggregated in the same stage, so such a chunk's places,
-a few numbers each, meet in one task. Nothing is collected.
+each task once), the documents once for the last join; occurrences travel as hashes, and the places of the most frequent
+chunks are salted where they meet their chunk's one row. The repeated chunks' hashes are written to the shared checkpoint
+folder. Nothing is collected.
 
 Edge cases: null text stays null and has no lines; empty text is one empty line; rows with the same id and text count as
 one occurrence and get the same result; a null id sorts before all others. Columns of the input keep their names and
-values, but the text's and those called n_lines or n_removed, which are replaced; internal columns start with ``__ld_``.
+values, but the text's and those called n_lines or n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import Steps, covered, row_key, salted_join
 
 BASE, PRIME = 1_000_003, 2_147_483_647
+ADDED = ("n_lines", "n_removed")
 
 
 def with_chunks(docs: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
@@ -54,6 +55,8 @@ def with_texts(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, divisor: int = 3, min_lines: int = 2) -> DataFrame:
     """The input's columns with the deduplicated text, and n_lines, n_removed (lines)."""
+    docs, names = covered(docs, ADDED)
+    id, text = names[id], names[text]
     base = docs.withColumn("__ld_key", row_key(id, text))
     cut = with_texts(with_chunks(base.select(F.col("__ld_key"), F.col(id).alias("__ld_id"), F.col(text).alias("__ld_text")), "__ld_text", window, divisor))
     # the outer form: a plain explode lets Spark infer a filter, which it pushes down by writing all steps out in it
@@ -63,12 +66,13 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     last = F.max(F.struct("__ld_id", "__ld_key", "__ld_pos"))
     hashes = [F.xxhash64("__ld_t").alias("__ld_x"), F.md5("__ld_t").alias("__ld_m")]
     several = each.where(F.col("__ld_n") >= min_lines)
-    texts = several.groupBy("__ld_t").agg(first.alias("__ld_first"), last.alias("__ld_last")).select(*hashes, "__ld_first", "__ld_last")
+    texts = several.groupBy("__ld_t").agg(first.alias("__ld_first"), last.alias("__ld_last"), F.count("*").alias("__ld_many")).select(*hashes, "__ld_first", "__ld_last", "__ld_many")
     # one text for a pair of hashes, and at least two places
-    repeated = texts.groupBy("__ld_x", "__ld_m").agg(F.count("*").alias("__ld_texts"), F.min("__ld_first").alias("__ld_first"), F.max("__ld_last").alias("__ld_last"))
+    repeated = texts.groupBy("__ld_x", "__ld_m").agg(F.count("*").alias("__ld_texts"), F.min("__ld_first").alias("__ld_first"), F.max("__ld_last").alias("__ld_last"), F.sum("__ld_many").alias("__ld_many"))
     repeated = repeated.where((F.col("__ld_texts") == 1) & (F.col("__ld_first") != F.col("__ld_last"))).drop("__ld_texts", "__ld_last")
+    repeated = Steps(docs.sparkSession, "lines").save(repeated)  # hashes and places only; the join below reads it twice
     places = several.select("__ld_key", "__ld_pos", F.struct("__ld_id", "__ld_key", "__ld_pos").alias("__ld_here"), *hashes)
-    gone = places.join(repeated, ["__ld_x", "__ld_m"]).where(F.col("__ld_here") != F.col("__ld_first"))
+    gone = salted_join(places, repeated, ["__ld_x", "__ld_m"], "__ld_here", "__ld_many").where(F.col("__ld_here") != F.col("__ld_first"))
     gone = gone.groupBy("__ld_key").agg(F.array_sort(F.collect_set("__ld_pos")).alias("__ld_gone"))
     out = with_chunks(base.join(gone, "__ld_key", "left"), text, window, divisor)
     # one sign a chunk, so that looking one up does not search the list
@@ -85,7 +89,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
     out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(whole, F.lit(0)).otherwise(n - n_kept).cast("long"))
     out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(pieces, "\n")))
-    return out.drop(*[c for c in out.columns if c.startswith("__ld_")])
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *ADDED)
 
 
 def passage_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,6 +99,8 @@ def passage_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     the same pair (by SHA-256 of its text) stands at an earlier place, so runs of repeated pairs go whole and the first
     occurrence of each line stays. Blank lines make no pairs of their own. Each pair is shuffled as a hash and a place.
     """
+    docs, names = covered(docs, ADDED)
+    id, text = names[id], names[text]
     base = docs.withColumn("__ld_key", row_key(id, text))
     cut = base.select("__ld_key", F.col(id).alias("__ld_id"), F.split(F.col(text), "\n", -1).alias("__ld_lines"))
     cut = cut.withColumn("__ld_full", F.filter(F.transform("__ld_lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
@@ -106,9 +112,10 @@ def passage_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     pairs = F.transform(F.slice("__ld_full", F.lit(1), F.greatest(F.size("__ld_full") - 1, F.lit(0))), pair)
     each = cut.select("__ld_key", "__ld_id", F.explode_outer(pairs).alias("__ld_p")).where(F.col("__ld_p").isNotNull())
     places = each.select(F.col("__ld_p.x").alias("__ld_x"), F.struct("__ld_id", "__ld_key", F.col("__ld_p.s").alias("s")).alias("__ld_here"), F.col("__ld_p.e").alias("__ld_e"))
-    repeated = places.groupBy("__ld_x").agg(F.min("__ld_here").alias("__ld_first"), F.max("__ld_here").alias("__ld_last"))
+    repeated = places.groupBy("__ld_x").agg(F.min("__ld_here").alias("__ld_first"), F.max("__ld_here").alias("__ld_last"), F.count("*").alias("__ld_many"))
     repeated = repeated.where(F.col("__ld_first") != F.col("__ld_last")).drop("__ld_last")
-    gone = places.join(repeated, "__ld_x").where(F.col("__ld_here") != F.col("__ld_first"))
+    repeated = Steps(docs.sparkSession, "passages").save(repeated)  # hashes and places only; the join below reads it twice
+    gone = salted_join(places, repeated, ["__ld_x"], "__ld_here", "__ld_many").where(F.col("__ld_here") != F.col("__ld_first"))
     gone = gone.groupBy(F.col("__ld_here.__ld_key").alias("__ld_key")).agg(F.array_sort(F.collect_set(F.struct(F.col("__ld_here.s").alias("s"), F.col("__ld_e").alias("e")))).alias("__ld_gone"))
     out = base.join(gone, "__ld_key", "left").withColumn("__ld_lines", F.split(F.col(text), "\n", -1))
     # what stays lies between the pairs that go; these are in order, and each ends after the one before it
@@ -124,7 +131,7 @@ def passage_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__ld_lines"))
     out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(whole, F.lit(0)).otherwise(n - F.size("__ld_kept")).cast("long"))
     out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join("__ld_kept", "\n")))
-    return out.drop(*[c for c in out.columns if c.startswith("__ld_")])
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *ADDED)
 
 
 def sql(window: int = 2, divisor: int = 3, min_lines: int = 2, source: str = "documents") -> str:
