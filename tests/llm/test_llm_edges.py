@@ -58,6 +58,25 @@ def test_odd_texts(odd, none, labels, name):
     assert len(run(odd, labels.limit(0)).collect()) == rows
 
 
+def test_a_text_of_megabytes(spark, labels):
+    """Whole texts of any length: counts and pieces are those of the parts put together."""
+    part = "alpha beta, gamma delta\nsome mail a@b.cd here " + " ".join(f"w{i}" for i in range(400)) + "\n"
+    long = part * 1200
+    docs = spark.createDataFrame([(1, long, None, None, None), (2, part, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    by = lambda df, *columns: {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+    assert len(long) > 2 * 10**6
+    counts = by(token_count.token_counts(docs, PIECES), "n_tokens")
+    assert abs(counts[1][0] - 1200 * counts[2][0]) <= 1200
+    assert by(merge_dropout.encode(docs, PIECES), "lossless") == {1: (True,), 2: (True,)}
+    found = by(pii.detect(docs), "n_email", "n_ip")
+    assert found == {1: (1200, 0), 2: (1, 0)}
+    assert by(ngram_join.near_duplicates(docs), "n_links")[1][0] in (0, 1)
+    pieces = packing.pack(docs, WORDS).where("doc_id = 1").collect()
+    assert sum(r["length"] for r in pieces) > 1200 * 400 and all(r["length"] == 2048 for r in pieces if r["piece"] < len(pieces) - 1)
+    assert by(line_dedup.passage_dedup(docs), "n_removed")[1][0] >= 2 * 1199
+    assert len(toxicity.scores(docs, labels).collect()) == len(quality.resample(docs, labels).collect()) == 2
+
+
 def test_odd_texts_are_packed(odd, none):
     rows = packing.pack(odd, WORDS).collect()
     assert sum(r["piece"] == 0 for r in rows) == 10
