@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import subsets
 from .steps import Steps
+from .vocab import numbered
 
 
 def postings(tokens: DataFrame, members: DataFrame | None = None, doc: str = "doc", item: str = "item") -> DataFrame:
@@ -33,17 +34,24 @@ def frequent_items(found: DataFrame, least: int, kind: str = "document") -> Data
     return support(found, kind).where(F.col("support") >= least)
 
 
+def coded(items: DataFrame) -> DataFrame:
+    """(item, id): items by dense numbers in their order, so that pairs are counted by one number each."""
+    return numbered(items.select("item"), "item", 0, "id")
+
+
 def pair_support(found: DataFrame, least: int, kind: str = "document", same: DataFrame | None = None) -> DataFrame:
     """(a, b, support) of frequent pairs a < b; ``same`` (a, b) lists pairs that share a word and never go together.
 
-    Infrequent items are dropped before documents are joined with themselves.
+    Infrequent items are dropped before documents are joined with themselves, and pairs are counted as numbers.
     """
-    kept = found.join(frequent_items(found, least, kind).select("item"), "item", "left_semi")
-    left = kept.select("doc", F.col("item").alias("a"), F.col("mult").alias("ma"))
-    right = kept.select("doc", F.col("item").alias("b"), F.col("mult").alias("mb"))
-    pairs = left.join(right, "doc").where("a < b")
-    measure = F.sum(F.least("ma", "mb")) if kind == "posting" else F.count("*")
-    out = pairs.groupBy("a", "b").agg(measure.alias("support")).where(F.col("support") >= least)
+    ids = coded(frequent_items(found, least, kind))
+    kept = found.join(ids, "item").select("doc", "id", "mult")
+    pairs = kept.join(kept.select("doc", F.col("id").alias("other"), F.col("mult").alias("m")), "doc").where("id < other")
+    measure = F.sum(F.least("mult", "m")) if kind == "posting" else F.count("*")
+    counted = pairs.groupBy((F.shiftleft("id", 32) + F.col("other")).alias("key")).agg(measure.alias("support")).where(F.col("support") >= least)
+    names = lambda c: ids.select(F.col("item").alias(c), F.col("id").alias(f"_{c}"))
+    out = counted.withColumn("_a", F.shiftright("key", 32)).withColumn("_b", F.col("key").bitwiseAND(F.lit(2**32 - 1)))
+    out = out.join(names("a"), "_a").join(names("b"), "_b").select("a", "b", "support")
     return out if same is None else out.join(same, ["a", "b"], "left_anti")
 
 
@@ -55,34 +63,47 @@ def sharing(members: DataFrame) -> DataFrame:
 
 
 def itemsets(found: DataFrame, least: int, levels: int = 10, kind: str = "document", same: DataFrame | None = None) -> DataFrame:
-    """(items in order, size, support) of all frequent itemsets of at most ``levels`` items."""
+    """(items in order, size, support) of all frequent itemsets of at most ``levels`` items.
+
+    A level's sets have dense numbers; a document's set grows by one item, and the grown ones are counted by a number made
+    of the set's and the item's. From the third level on only candidates grow all of whose subsets are frequent; pairs of
+    ``same`` don't, and so are in no greater set either.
+    """
     steps = Steps(found.sparkSession, "itemsets")
     ones = steps.save(frequent_items(found, least, kind))
-    kept = steps.save(found.join(ones.select("item"), "item", "left_semi"))
+    ids = coded(ones)
     out = ones.select(F.array("item").alias("items"), F.lit(1).alias("size"), "support")
     if levels < 2:
         return out
-    # documents' itemsets of the level, each with its least multiplicity
-    level, sets = kept.select("doc", F.array("item").alias("items"), F.col("item").alias("last"), "mult"), None
+    kept = steps.save(found.join(ids, "item").select("doc", F.col("id").alias("next"), F.col("mult").alias("m")))
+    level = kept.select("doc", F.col("next").alias("set"), F.col("next").alias("last"), F.col("m").alias("mult"))
+    sets = ids.select(F.col("id").alias("set"), F.array("id").alias("items"))
+    apart = None
+    if same is not None:
+        number = lambda c: ids.select(F.col("item").alias(c), F.col("id").alias(f"_{c}"))
+        apart = same.join(number("a"), "a").join(number("b"), "b").select((F.shiftleft(F.least("_a", "_b"), 32) + F.greatest("_a", "_b")).alias("key"))
+    measure = F.sum("mult") if kind == "posting" else F.count("*")
     for size in range(2, levels + 1):
-        if sets is None:
-            grown = level.join(kept.select("doc", F.col("item").alias("next"), F.col("mult").alias("m")), "doc").where("next > last")
-        else:  # only to candidates all of whose subsets are frequent
-            able = able_candidates(sets).select(F.slice("items", F.lit(1), F.lit(size - 1)).alias("items"), F.element_at("items", -1).alias("next"))
-            grown = level.join(able, "items").join(kept.select("doc", F.col("item").alias("next"), F.col("mult").alias("m")), ["doc", "next"])
-        if same is not None:
-            apart = same.select(F.col("a").alias("x"), F.col("b").alias("next")).unionByName(same.select(F.col("b").alias("x"), F.col("a").alias("next")))
-            met = apart.groupBy("next").agg(F.collect_set("x").alias("not_with"))
-            grown = grown.join(met, "next", "left").where(F.expr("not_with IS NULL OR NOT arrays_overlap(items, not_with)")).drop("not_with")
-        grown = grown.select("doc", F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last"), F.least("mult", "m").alias("mult"))
+        if size == 2:
+            grown = level.join(kept, "doc").where("next > last")
+        else:
+            able = able_candidates(sets.select("items")).select(F.slice("items", F.lit(1), F.lit(size - 1)).alias("items"), F.element_at("items", -1).alias("next"))
+            grown = level.join(able.join(sets, "items").select("set", "next"), "set").join(kept, ["doc", "next"])
+        grown = grown.select("doc", (F.shiftleft("set", 32) + F.col("next")).alias("key"), F.least("mult", "m").alias("mult"))
+        if apart is not None and size == 2:
+            grown = grown.join(apart, "key", "left_anti")
         if size < levels:  # the next level starts from it
             grown = steps.save(grown)
-        measure = F.sum("mult") if kind == "posting" else F.count("*")
-        sets = steps.save(grown.groupBy("items").agg(measure.alias("support")).where(F.col("support") >= least))
-        if not sets.limit(1).count():
+        after = numbered(grown.groupBy("key").agg(measure.alias("support")).where(F.col("support") >= least), "key", 0, "_set")
+        if not after.limit(1).count():
             break
-        out = out.unionByName(sets.select("items", F.lit(size).alias("size"), "support"))
-        level = grown.join(sets.select("items"), "items", "left_semi")
+        after = after.withColumn("_old", F.shiftright("key", 32)).withColumn("_next", F.col("key").bitwiseAND(F.lit(2**32 - 1)))
+        after = steps.save(after.join(sets.select(F.col("set").alias("_old"), "items"), "_old").select("key", "support", F.col("_set").alias("set"), F.concat("items", F.array("_next")).alias("items")))
+        named = after.select("set", "support", F.posexplode("items").alias("_k", "id")).join(ids, "id").groupBy("set", "support").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "item"))), lambda x: x["item"]).alias("items"))
+        out = out.unionByName(named.select("items", F.lit(size).alias("size"), "support"))
+        if size < levels:
+            level = grown.join(after.select("key", "set"), "key").select("doc", "set", F.col("key").bitwiseAND(F.lit(2**32 - 1)).alias("last"), "mult")
+            sets = after.select("set", "items")
     return out
 
 

@@ -40,7 +40,7 @@ def numbered(rows: DataFrame, by: str, first: int = 0, name: str = "idx") -> Dat
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     at = F.col("_at") - F.shiftleft(F.col("_part"), 33)
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + at + first).drop("_at", "_part", "_before")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + at + first).cast("long")).drop("_at", "_part", "_before")
 
 
 def index_tokens(tokens: DataFrame, vocab: DataFrame, id: str, unknown: int = 1, size: int | None = None) -> DataFrame:

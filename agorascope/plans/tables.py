@@ -12,9 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table is read in fewer parts than there are; greater tables stay as they are read."""
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if parts < cores else df
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, tokens) of all documents, in whatever language"""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), word_tokens(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("doc"), word_tokens(F.col("text")).alias("tokens"))
 
 
 def word_items(spark: SparkSession, sf_dir: str) -> DataFrame:
