@@ -377,7 +377,7 @@ def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("merges", model_path, dropout, seed), lambda: Model(model_path, dropout, seed))
-        for batch in smaller(batches, 1):
+        for batch in smaller(batches, 1, 6 << 20, 1_600):  # the more texts, the more words are solved once for several
             texts = batch.column(1).to_pylist()
             got = model.encode_all(batch.column(0).to_pylist(), texts)
             same = [None if t is None else model.bytes_of(x.tolist()) == t.encode("utf-8", "surrogatepass") for x, t in zip(got, texts)]
