@@ -264,12 +264,16 @@ def nearest(
 
     def looked_up(waiting: DataFrame, bits: int, r1: int, r2: int) -> DataFrame:
         """By segments; the waiting queries, whose prefixes are few enough, go to every task."""
-        by_dim: dict[int, list] = {}
-        for r in waiting.select("node", "dim", "vector", "strings", "best").collect():  # at most MOST_SENT prefixes
-            best = np.frombuffer(r["best"], np.uint8).reshape(trees, 2, DIRECTIONS).astype(np.int64)
-            probes = ((best[:, 0, :r1, None] << SYMBOL) | best[:, 1, None, :r2]).reshape(trees, -1) if r2 > 1 else np.array(r["strings"])[:, None] >> (BITS - bits)
-            by_dim.setdefault(r["dim"], []).append((r["node"], r["vector"], probes))
-        asked = {d: (np.array([n for n, _, _ in x]), unit(np.array([v for _, v, _ in x], np.float64)), np.stack([p for _, _, p in x])) for d, x in by_dim.items()}
+        held = waiting.select("node", "dim", "vector", "strings", "best").toArrow()  # at most MOST_SENT prefixes
+        dims, asked = held["dim"].to_numpy(), {}
+        for d in np.unique(dims).tolist():
+            part = held.take(pa.array(np.nonzero(dims == d)[0]))
+            if r2 > 1:
+                best = np.frombuffer(b"".join(part["best"].to_pylist()), np.uint8).reshape(-1, trees, 2, DIRECTIONS).astype(np.int64)
+                probes = ((best[:, :, 0, :r1, None] << SYMBOL) | best[:, :, 1, None, :r2]).reshape(len(best), trees, -1)
+            else:
+                probes = part["strings"].combine_chunks().flatten().to_numpy().reshape(-1, trees, 1) >> (BITS - bits)
+            asked[d] = (part["node"].to_numpy(), unit(matrix(part["vector"], d)), probes)
         found = steps.save(forest.select("node", "dim", "vector", "strings").mapInArrow(probed(k, trees, bits, asked), FOUND + ", pairs long"))
         if counted is not None:
             counted.append(found.agg(F.sum("pairs")).first()[0] or 0)
