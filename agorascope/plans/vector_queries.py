@@ -169,14 +169,14 @@ def dependencies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lone_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each kind of line stands beside at most one that depends on it or on which it depends."""
-    edges = dependencies_of(spark, sf_dir).where("probability >= 0.4").select("target", "dependent")
+    edges = dependencies_of(spark, sf_dir).where("probability >= 0.17").select("target", "dependent")
     return C.word_context(lines_of(spark, sf_dir), edges).groupBy("item").agg(F.count("*").alias("n"))
 
 
 def omitted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an order lacks that the order before had and that its lines depend on, counted."""
     docs = lines_of(spark, sf_dir)
-    found = C.omissions(docs, docs.select((F.col("doc") + 1).alias("doc"), "item"), dependencies_of(spark, sf_dir), 0.2)
+    found = C.omissions(docs, docs.select((F.col("doc") + 1).alias("doc"), "item"), dependencies_of(spark, sf_dir), 0.15)
     return found.groupBy("omitted").agg(F.count("*").alias("n"), F.round(F.max("probability"), 6).alias("probability"))
 
 
@@ -232,10 +232,10 @@ WHERE NOT EXISTS (SELECT 1 FROM c WHERE c_nationkey = n_nationkey AND c_mktsegme
     "category_words": "SELECT c_mktsegment AS category, count(*) AS n, md5(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS words FROM customer WHERE c_acctbal < 0 GROUP BY 1",
     "items_expanded": """WITH b AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_nationkey, c_mktsegment FROM customer JOIN b ON c_custkey = k WHERE c_acctbal < 0)
 SELECT CAST(NULL AS INTEGER) AS clustering, count(*) AS n FROM b UNION ALL SELECT 0, count(DISTINCT c_nationkey) FROM c UNION ALL SELECT 1, count(DISTINCT c_mktsegment) FROM c""",
-    "lone_items": f"""WITH {_DEPENDS}, near AS (SELECT target AS item, dependent AS other FROM deps WHERE p >= 0.4 UNION SELECT dependent, target FROM deps WHERE p >= 0.4),
+    "lone_items": f"""WITH {_DEPENDS}, near AS (SELECT target AS item, dependent AS other FROM deps WHERE p >= 0.17 UNION SELECT dependent, target FROM deps WHERE p >= 0.17),
 c AS (SELECT i.doc, i.item, count(o.item) AS n FROM items i LEFT JOIN near USING (item) LEFT JOIN items o ON o.doc = i.doc AND o.item = near.other GROUP BY i.doc, i.item)
 SELECT item, count(*) AS n FROM c WHERE n <= 1 GROUP BY item""",
-    "omitted_items": f"""WITH {_DEPENDS}, needed AS (SELECT i.doc, target AS omitted, max(p) AS p FROM items i JOIN deps ON i.item = dependent AND p >= 0.2 GROUP BY ALL),
+    "omitted_items": f"""WITH {_DEPENDS}, needed AS (SELECT i.doc, target AS omitted, max(p) AS p FROM items i JOIN deps ON i.item = dependent AND p >= 0.15 GROUP BY ALL),
 found AS (SELECT n.* FROM needed n JOIN items b ON b.doc + 1 = n.doc AND b.item = n.omitted LEFT JOIN items o ON o.doc = n.doc AND o.item = n.omitted WHERE o.doc IS NULL)
 SELECT omitted, count(*) AS n, round(max(p), 6) AS probability FROM found GROUP BY omitted""",
     "first_dependents": f"""WITH {_DEPENDS}, f AS (SELECT '#' || left(dependent, 1) AS first FROM deps)
