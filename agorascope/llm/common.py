@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.steps import Steps, components, salted_join
 
-__all__ = ["Memo", "Steps", "blocked", "components", "covered", "groups", "kept", "local_roots", "row_key", "salted_join", "shuffle_partitions", "smaller"]
+__all__ = ["Memo", "Steps", "blocked", "components", "covered", "groups", "kept", "local_roots", "released", "row_key", "salted_join", "shuffle_partitions", "smaller"]
 
 
 def kept(key: tuple, make):
@@ -40,6 +42,22 @@ def smaller(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20,
             at = upto
 
 
+def released(run):
+    """The same map over batches, after which a worker gives the memory that is free again back to the system: workers
+    that are kept for later tasks would hold it beside those tasks'."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+    return mapped
+
+
 class Memo:
     """A dict of bounded size in two generations: what the older one holds is found, and kept if found."""
 

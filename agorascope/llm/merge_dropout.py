@@ -34,7 +34,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import Memo, kept, smaller
+from .common import Memo, kept, released, smaller
 
 MARK, HIDDEN = "▁", "\x00"
 LINE = "\x01"  # stands for a line end before a word
@@ -387,7 +387,7 @@ def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(lengths), pa.array(same, pa.bool_())], [id, "ids", "n_tokens", "lossless"])
 
     rows = docs.select(id, text)
-    return rows.mapInArrow(run, f"`{id}` {rows.schema[id].dataType.simpleString()}, ids array<int>, n_tokens long, lossless boolean")
+    return rows.mapInArrow(released(run), f"`{id}` {rows.schema[id].dataType.simpleString()}, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:

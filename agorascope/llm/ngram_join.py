@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Steps, components, groups, kept, local_roots, salted_join, smaller
+from .common import Memo, Steps, components, groups, kept, local_roots, released, salted_join, smaller
 
 HASHES, ROWS, STEP = 96, 4, 16
 BLOCK_BYTES = 4 << 20
@@ -48,7 +48,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Hashed word n-grams; words repeat, so their hashes are kept in a memo of bounded size."""
 
-    def __init__(self, words: int, memo: int = 200_000):
+    def __init__(self, words: int, memo: int = 100_000):
         self.words, self.memo = words, Memo(memo)
         rng = np.random.default_rng(20240229)
         self.key = rng.integers(0, 2**63, (HASHES, 1), dtype=np.uint64)
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["id", "digest", "sig", "grams"])
 
-    signed = steps.save(rows.mapInArrow(sign, f"id {kind}, digest binary, sig binary, grams long"))
+    signed = steps.save(rows.mapInArrow(released(sign), f"id {kind}, digest binary, sig binary, grams long"))
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("sig").alias("sig"), F.max("grams").alias("grams"))
     classes = steps.save(classes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "key", "band", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side"))
     met = dealt.join(classes.select("node", "sig"), "node").repartition(*BUCKET).sortWithinPartitions(*BUCKET)
-    noted = steps.save(met.mapInArrow(candidates(least), "key long, band int, bi int, bj int, side int, node long"))
+    noted = steps.save(met.mapInArrow(released(candidates(least)), "key long, band int, bi int, bj int, side int, node long"))
 
     def regather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = kept(("shingler", words), lambda: Shingler(words))
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     tasks = noted.groupBy("node").agg(F.collect_list(F.struct("key", "band", "bi", "bj", "side")).alias("tasks"))
     wanted = classes.drop("grams").join(tasks, "node")
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "digest", "node", "size", "sig", "tasks")
-    sets = texts.mapInArrow(regather, "node long, size long, sig binary, tasks array<struct<key:long,band:int,bi:int,bj:int,side:int>>, grams binary")
+    sets = texts.mapInArrow(released(regather), "node long, size long, sig binary, tasks array<struct<key:long,band:int,bi:int,bj:int,side:int>>, grams binary")
     sets = sets.select("node", "size", "sig", "grams", F.explode("tasks").alias("t")).select("node", "size", "sig", "grams", "t.*")
-    found = sets.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(exact_links(least, Fraction(str(threshold))), "node long, links long, to long")
+    found = sets.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(released(exact_links(least, Fraction(str(threshold)))), "node long, links long, to long")
     found = steps.save(found)
     joined = components(steps, found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

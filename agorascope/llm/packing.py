@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, kept, smaller
+from .common import Steps, kept, released, smaller
 
 CELLS = 4_096  # a salt of a length has at most so large a part of all pieces, or a thousand of them
 MOST_ROWS = 500_000  # rows of a table that is sent to every task
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, vocab_path: str, capacity: int, id: str, text: str,
 
     rows = docs.select(id, text)
     kind = rows.schema[id].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(released(run), f"`{id}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # The plan: driver code over the histogram of lengths.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, Steps, kept, smaller
+from .common import Memo, Steps, kept, released, smaller
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -40,7 +40,7 @@ ADDED = ("log_weight", "gumbel_key", "selected")
 class Grams:
     """Buckets of a text's n-grams. Parts between blanks repeat: their hashes are kept in a memo of bounded size."""
 
-    def __init__(self, buckets: int, memo: int = 200_000):
+    def __init__(self, buckets: int, memo: int = 100_000):
         self.buckets, self.memo = np.uint64(buckets), Memo(memo)
 
     @staticmethod
@@ -106,7 +106,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id: str, text: str, buckets:
         some = np.nonzero(both[0])[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(both[0][some]), pa.array(both[1][some])], ["bucket", "raw", "good"])
 
-    found = docs.select(id, text).mapInArrow(count, "bucket int, raw long, good long")
+    found = docs.select(id, text).mapInArrow(released(count), "bucket int, raw long, good long")
     found = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # at most ``buckets`` rows
     raw, fine = np.ones(buckets), np.ones(buckets)
     for r in found:
@@ -140,7 +140,7 @@ def resample(
 
     added = [T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType()), T.StructField("__q_order", T.LongType())]
     schema = T.StructType([*docs.schema.fields, *added])
-    scored = steps.save(docs.mapInArrow(score, schema).withColumn("__q_row", F.monotonically_increasing_id()))
+    scored = steps.save(docs.mapInArrow(released(score), schema).withColumn("__q_row", F.monotonically_increasing_id()))
     if k is None:
         if share is None:
             share = 1 - (1 - good_share(labels)) * (1 - spare) if ratio.any() else 1.0
