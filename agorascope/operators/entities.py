@@ -39,11 +39,9 @@ def mentions(sentences: DataFrame, entities: DataFrame, id: str, text: str) -> D
     if not lengths:
         return sentences.select(id).join(forms.select("group_id", "form"), F.lit(False))
     low = F.lower(text)
-    # each part begins where a form may begin: at the start, after a stop, blank, line end or question mark, or as a cased letter after anything else
-    parts = F.split(low, r"(?<=[. \n?])|(?<=[^\p{Ll}\p{Lu}])(?=[\p{Ll}\p{Lu}])", -1)
-    each = sentences.select(F.col(id).alias("_id"), low.alias("_low"), F.posexplode(parts).alias("_k", "_part"), parts.alias("_parts"))
-    start = F.aggregate(F.slice("_parts", F.lit(1), F.col("_k")), F.lit(0), lambda a, p: a + F.length(p))
-    tails = each.select("_id", F.col("_low").substr(start + 1, F.lit(lengths[-1])).alias("_tail")).distinct()
+    # what follows each place where a form may begin: the start, after a stop, blank, line end or question mark, or a cased letter after anything else
+    places = r"(?s)(?:^|(?<=[. \n?])|(?<=[^\p{Ll}\p{Lu}])(?=[\p{Ll}\p{Lu}]))(?=(.{1,%d}))" % lengths[-1]
+    tails = sentences.select(F.col(id).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(places), F.lit(1)))).alias("_tail"))
     keys = tails.select("_id", F.explode(F.array(*[F.when(F.length("_tail") >= n, F.left("_tail", F.lit(n))) for n in lengths])).alias("_key")).where("_key IS NOT NULL").distinct()
     return keys.join(forms, "_key").select(F.col("_id").alias(id), "group_id", "form").distinct()
 
