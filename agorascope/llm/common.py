@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.steps import Steps, components, salted_join
 
-__all__ = ["Memo", "Steps", "blocked", "components", "covered", "groups", "kept", "local_roots", "released", "row_key", "salted_join", "shuffle_partitions", "smaller"]
+__all__ = ["Memo", "Steps", "blocked", "components", "covered", "groups", "kept", "local_roots", "released", "row_key", "salted_join", "shuffle_partitions", "smaller", "word_parts", "word_table"]
 
 
 def kept(key: tuple, make):
@@ -82,6 +82,23 @@ class Memo:
         return new
 
 
+def word_table(keeps: Callable[[int], bool]) -> bytes:
+    """A table for bytes.translate: A to Z become a to z, bytes that words don't have become blanks."""
+    low = [c + 32 if 65 <= c <= 90 else c for c in range(256)]
+    return bytes(c if keeps(c) else 32 for c in low)
+
+
+def word_parts(text: bytes, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about ``size`` bytes, so that a long text's words are not held at once."""
+    text = text.translate(table)
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 def row_key(*cols: str) -> Column:
     """128 bits that name a row by its values; null and empty differ."""
     parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string"))) for c in cols]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, embed_dedup, line_dedup, merge_dropout, ngram_join, packing, pii, quality, token_count, toxicity
+from . import ann_forest, divergence, embed_dedup, line_dedup, merge_dropout, mixing, ngram_join, packing, pii, quality, target_sampling, token_count, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,21 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op2_repeated_passages, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op6_nearest_neighbours, op7_importance_resampling, op8_merge_dropout, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op2_repeated_passages, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op6_nearest_neighbours, op7_importance_resampling, op8_merge_dropout, op9_toxicity, op10_best_fit_packing, op11_source_divergence, op12_target_resampling, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.sql()}
+    return {"op2_line_dedup": line_dedup.sql(), "op11_source_divergence": divergence.sql(), "op12_target_resampling": target_sampling.sql(), "op13_source_mixing": mixing.sql()}
