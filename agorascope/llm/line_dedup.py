@@ -1,157 +1,158 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Each line is hashed; a rolling hash over the last ``window`` line hashes ends a chunk where it is divisible by
-``divisor``, so an insertion moves boundaries only near itself. Chunks of at least ``min_lines`` lines that occur more
-than once anywhere are removed but for the first occurrence. Chunks are grouped by their whole text (that is the byte
-comparison); an occurrence is matched to its group by 192 bits of hash, and only where these name a single text.
-
-Scale: the chunk texts are shuffled once after a map-side combine (a chunk that a third of all documents share leaves
-each task once), the documents once for the last join; occurrences travel as hashes, and the places of the most frequent
-chunks are salted where they meet their chunk's one row. The repeated chunks' hashes are written to the shared checkpoint
-folder. Nothing is collected.
-
-Edge cases: null text stays null and has no lines; empty text is one empty line; rows with the same id and text count as
-one occurrence and get the same result; a null id sorts before all others. Columns of the input keep their names and
-values, but the text's and those called n_lines or n_removed, which are replaced.
+Each line that is not blank is hashed, and a rolling hash runs over the hashes of each two neighbours. A chunk ends between
+two lines whose rolling hash occurs nowhere else, as no repeated passage can hold both, or whose rolling hash is divisible
+by ``divisor``; so boundaries depend on the lines around them only, an insertion moves none but those next to it, and a
+repeated passage is cut alike wherever it stands, whatever stands before and after it. Chunks are grouped by their whole
+text (that is the byte comparison); all but the first occurrence are met again. Met chunks that stand side by side, where
+their two neighbouring lines stood side by side before, are one passage; passages of at least ``min_lines`` lines go,
+with the blank lines in them. A line that is repeated by itself stays.
+
+Scale: rolling hashes are shuffled twice (to be counted, and to find the repeated ones again), each as a hash and a place;
+the documents' texts twice (to be cut, to get their result), and the texts of chunks that may be repeated once, after a
+map-side combine. Joins with the one row of a frequent rolling hash or chunk are salted. Steps in the shared folder hold
+hashes and places only. Nothing is collected.
+
+Edge cases: null text stays null and has no lines; empty text is one empty line; blank lines (of spaces or nothing) belong
+to the passage around them and are in none by themselves; rows with the same id and text count as one occurrence and get
+the same result; a null id sorts before all others. Columns of the input keep their names and values, but the text's and
+those called n_lines or n_removed, which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Steps, covered, row_key, salted_join
 
-BASE, PRIME = 1_000_003, 2_147_483_647
 ADDED = ("n_lines", "n_removed")
 
 
-def with_chunks(docs: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
-    """Adds __ld_lines, and __ld_ends: the 0-based last line of each chunk."""
-    out = docs.withColumn("__ld_lines", F.split(F.col(text), "\n", -1))
-    out = out.withColumn("__ld_h", F.transform("__ld_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
+def with_lines(docs: DataFrame, text: str) -> DataFrame:
+    """Adds _lines, and _full: the places of lines that are not blank."""
+    out = docs.withColumn("_lines", F.split(F.col(text), "\n", -1))
+    return out.withColumn("_full", F.filter(F.transform("_lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
 
-    def rolling(i):
-        total = F.lit(0).cast("long")
-        for k in range(window):
-            power = pow(BASE, k, PRIME)
-            total = total + F.when(i >= k, F.get(F.col("__ld_h"), i - k) % PRIME * F.lit(power) % PRIME).otherwise(F.lit(0))
-        return total % PRIME
 
-    last = F.size("__ld_lines") - 1
-    flags = F.transform("__ld_h", lambda x, i: F.when((rolling(i) % divisor == 0) | (i == last), i))
-    return out.withColumn("__ld_ends", F.filter(flags, lambda x: x.isNotNull())).drop("__ld_h")
+def line_hash(line: Column) -> Column:
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def with_texts(docs: DataFrame) -> DataFrame:
-    """Adds __ld_chunks: for each chunk its number of lines and its text."""
-
-    def chunk(end, i):
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__ld_ends"), i - 1) + 1)
-        return F.struct((end - start + 1).alias("n"), F.array_join(F.slice(F.col("__ld_lines"), start + 1, end - start + 1), "\n").alias("t"))
-
-    return docs.withColumn("__ld_chunks", F.transform("__ld_ends", chunk))
-
-
-def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 2, divisor: int = 3, min_lines: int = 2) -> DataFrame:
+def rolling_hashes(docs: DataFrame) -> DataFrame:
+    """(_key, _id, _k, _roll): of each line k that is not blank and the next such line; a line's hash takes 60 bits."""
+    hashes = F.transform("_full", lambda i: line_hash(F.get(F.col("_lines"), i)))
+    each = with_lines(docs, "_text").withColumn("_h", hashes)
+    roll = F.transform(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 1, F.lit(0))), lambda h, k: F.shiftleft(h, 1).bitwiseXOR(F.get(F.col("_h"), k + 1)))
+    # the outer form: a plain explode lets Spark infer a filter, which it pushes down by writing all steps out in it
+    return each.select("_key", "_id", F.posexplode_outer(roll).alias("_k", "_roll")).where(F.col("_roll").isNotNull())
+
+
+def chunks(docs: DataFrame, seams: DataFrame) -> DataFrame:
+    """(_key, _id, _s, _e, _on, _t): the chunks that may be repeated, from line s to line e of those that are not blank;
+    on: the lines on both sides of the boundary before stood side by side before. seams: (_key, _seams)."""
+    # one sign for each seam: "." for one that is in no passage, else cut or not, and first or not
+    gap = lambda k, i: k - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("_seams"), i - 1)["k"]) - 1
+    sign = lambda x: F.when(x["cut"], F.when(x["first"], "C").otherwise("c")).otherwise("u")
+    marks = F.array_join(F.transform("_seams", lambda x, i: F.concat(F.repeat(F.lit("."), gap(x["k"], i)), sign(x))), "")
+    out = docs.join(seams, "_key").select("_key", "_id", "_text", F.split(marks, "").alias("_m"))
+    out = with_lines(out, "_text")
+    mark = lambda k: F.coalesce(F.when(k >= 0, F.get(F.col("_m"), k)), F.lit("."))
+    units = F.sequence(F.lit(0), F.size("_full") - 1)
+    inside = lambda k: (mark(k - 1) != ".") | (mark(k) != ".")
+    out = out.withColumn("_starts", F.filter(units, lambda k: inside(k) & (mark(k - 1) != "u")))
+    out = out.withColumn("_ends", F.filter(units, lambda k: inside(k) & (mark(k) != "u")))
+
+    def chunk(s, i):
+        e = F.get(F.col("_ends"), i)
+        first, last = F.get(F.col("_full"), s), F.get(F.col("_full"), e)
+        return F.struct(s.alias("s"), e.alias("e"), (mark(s - 1) == "c").alias("on"), F.array_join(F.slice(F.col("_lines"), first + 1, last - first + 1), "\n").alias("t"))
+
+    out = out.select("_key", "_id", F.explode_outer(F.transform("_starts", chunk)).alias("_c"))
+    return out.select("_key", "_id", F.col("_c.s").alias("_s"), F.col("_c.e").alias("_e"), F.col("_c.on").alias("_on"), F.col("_c.t").alias("_t"))
+
+
+def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", divisor: int = 4, min_lines: int = 2) -> DataFrame:
     """The input's columns with the deduplicated text, and n_lines, n_removed (lines)."""
+    steps = Steps(docs.sparkSession, "lines")
     docs, names = covered(docs, ADDED)
     id, text = names[id], names[text]
-    base = docs.withColumn("__ld_key", row_key(id, text))
-    cut = with_texts(with_chunks(base.select(F.col("__ld_key"), F.col(id).alias("__ld_id"), F.col(text).alias("__ld_text")), "__ld_text", window, divisor))
-    # the outer form: a plain explode lets Spark infer a filter, which it pushes down by writing all steps out in it
-    each = cut.select("__ld_key", "__ld_id", F.posexplode_outer("__ld_chunks").alias("__ld_pos", "__ld_c"))
-    each = each.select("__ld_key", "__ld_id", "__ld_pos", F.col("__ld_c.n").alias("__ld_n"), F.col("__ld_c.t").alias("__ld_t"))
-    first = F.min(F.struct("__ld_id", "__ld_key", "__ld_pos"))
-    last = F.max(F.struct("__ld_id", "__ld_key", "__ld_pos"))
-    hashes = [F.xxhash64("__ld_t").alias("__ld_x"), F.md5("__ld_t").alias("__ld_m")]
-    several = each.where(F.col("__ld_n") >= min_lines)
-    texts = several.groupBy("__ld_t").agg(first.alias("__ld_first"), last.alias("__ld_last"), F.count("*").alias("__ld_many")).select(*hashes, "__ld_first", "__ld_last", "__ld_many")
+    base = docs.withColumn("_key", row_key(id, text))
+    texts = base.select("_key", F.col(id).alias("_id"), F.col(text).alias("_text"))
+
+    rolls = rolling_hashes(texts).select("_key", "_k", "_roll", F.struct("_id", "_key", "_k").alias("_here"))
+    repeated = rolls.groupBy("_roll").agg(F.min("_here").alias("_first"), F.max("_here").alias("_last"), F.count("*").alias("_many"))
+    repeated = steps.save(repeated.where(F.col("_first") != F.col("_last")).drop("_last"))
+    seams = salted_join(rolls, repeated, ["_roll"], "_here", "_many")
+    seam = F.struct(F.col("_k").alias("k"), (F.col("_here") == F.col("_first")).alias("first"), (F.col("_roll") % divisor == 0).alias("cut"))
+    seams = seams.groupBy("_key").agg(F.array_sort(F.collect_set(seam)).alias("_seams"))
+
+    each = chunks(texts, seams).withColumn("_here", F.struct("_id", "_key", "_s")).withColumns({"_x": F.xxhash64("_t"), "_md": F.unhex(F.md5("_t"))})
+    groups = each.groupBy("_t").agg(F.min("_here").alias("_first"), F.max("_here").alias("_last"), F.count("*").alias("_many"))
+    groups = groups.select(F.xxhash64("_t").alias("_x"), F.unhex(F.md5("_t")).alias("_md"), "_first", "_last", "_many")
     # one text for a pair of hashes, and at least two places
-    repeated = texts.groupBy("__ld_x", "__ld_m").agg(F.count("*").alias("__ld_texts"), F.min("__ld_first").alias("__ld_first"), F.max("__ld_last").alias("__ld_last"), F.sum("__ld_many").alias("__ld_many"))
-    repeated = repeated.where((F.col("__ld_texts") == 1) & (F.col("__ld_first") != F.col("__ld_last"))).drop("__ld_texts", "__ld_last")
-    repeated = Steps(docs.sparkSession, "lines").save(repeated)  # hashes and places only; the join below reads it twice
-    places = several.select("__ld_key", "__ld_pos", F.struct("__ld_id", "__ld_key", "__ld_pos").alias("__ld_here"), *hashes)
-    gone = salted_join(places, repeated, ["__ld_x", "__ld_m"], "__ld_here", "__ld_many").where(F.col("__ld_here") != F.col("__ld_first"))
-    gone = gone.groupBy("__ld_key").agg(F.array_sort(F.collect_set("__ld_pos")).alias("__ld_gone"))
-    out = with_chunks(base.join(gone, "__ld_key", "left"), text, window, divisor)
-    # one sign a chunk, so that looking one up does not search the list
-    gap = lambda p, i: p - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("__ld_gone"), i - 1)) - 1
-    marks = F.array_join(F.transform("__ld_gone", lambda p, i: F.concat(F.repeat(F.lit("."), gap(p, i)), F.lit("x"))), "")
-    out = out.withColumn("__ld_marks", F.when(F.col("__ld_gone").isNull(), F.lit("")).otherwise(marks))
-    starts = F.transform("__ld_ends", lambda end, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__ld_ends"), i - 1) + 1).alias("s"), end.alias("e"), i.alias("i")))
-    kept = F.filter(starts, lambda c: F.col("__ld_marks").substr(c["i"] + 1, F.lit(1)) != "x")
-    out = out.withColumn("__ld_kept", kept)
-    whole = F.col("__ld_gone").isNull()
-    pieces = F.transform("__ld_kept", lambda c: F.array_join(F.slice(F.col("__ld_lines"), c["s"] + 1, c["e"] - c["s"] + 1), "\n"))
-    n_kept = F.aggregate("__ld_kept", F.lit(0), lambda a, c: a + (c["e"] - c["s"] + 1))
-    n = F.coalesce(F.size("__ld_lines"), F.lit(0))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(whole, F.lit(0)).otherwise(n - n_kept).cast("long"))
-    out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(pieces, "\n")))
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *ADDED)
-
-
-def passage_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Like line_dedup, but every repeated passage of at least two lines goes whole, wherever it begins and ends.
-
-    A pair is a line and the next one that is not blank, with the blank ones between them. Both lines of a pair go where
-    the same pair (by SHA-256 of its text) stands at an earlier place, so runs of repeated pairs go whole and the first
-    occurrence of each line stays. Blank lines make no pairs of their own. Each pair is shuffled as a hash and a place.
-    """
-    docs, names = covered(docs, ADDED)
-    id, text = names[id], names[text]
-    base = docs.withColumn("__ld_key", row_key(id, text))
-    cut = base.select("__ld_key", F.col(id).alias("__ld_id"), F.split(F.col(text), "\n", -1).alias("__ld_lines"))
-    cut = cut.withColumn("__ld_full", F.filter(F.transform("__ld_lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
-
-    def pair(s, k):
-        e = F.get(F.col("__ld_full"), k + 1)
-        return F.struct(s.alias("s"), e.alias("e"), F.unhex(F.sha2(F.array_join(F.slice(F.col("__ld_lines"), s + 1, e - s + 1), "\n"), 256)).alias("x"))
-
-    pairs = F.transform(F.slice("__ld_full", F.lit(1), F.greatest(F.size("__ld_full") - 1, F.lit(0))), pair)
-    each = cut.select("__ld_key", "__ld_id", F.explode_outer(pairs).alias("__ld_p")).where(F.col("__ld_p").isNotNull())
-    places = each.select(F.col("__ld_p.x").alias("__ld_x"), F.struct("__ld_id", "__ld_key", F.col("__ld_p.s").alias("s")).alias("__ld_here"), F.col("__ld_p.e").alias("__ld_e"))
-    repeated = places.groupBy("__ld_x").agg(F.min("__ld_here").alias("__ld_first"), F.max("__ld_here").alias("__ld_last"), F.count("*").alias("__ld_many"))
-    repeated = repeated.where(F.col("__ld_first") != F.col("__ld_last")).drop("__ld_last")
-    repeated = Steps(docs.sparkSession, "passages").save(repeated)  # hashes and places only; the join below reads it twice
-    gone = salted_join(places, repeated, ["__ld_x"], "__ld_here", "__ld_many").where(F.col("__ld_here") != F.col("__ld_first"))
-    gone = gone.groupBy(F.col("__ld_here.__ld_key").alias("__ld_key")).agg(F.array_sort(F.collect_set(F.struct(F.col("__ld_here.s").alias("s"), F.col("__ld_e").alias("e")))).alias("__ld_gone"))
-    out = base.join(gone, "__ld_key", "left").withColumn("__ld_lines", F.split(F.col(text), "\n", -1))
-    # what stays lies between the pairs that go; these are in order, and each ends after the one before it
-    end = F.array(F.struct(F.size("__ld_lines").alias("s"), F.size("__ld_lines").alias("e")))
-    out = out.withColumn("__ld_gone", F.concat("__ld_gone", end))
+    groups = groups.groupBy("_x", "_md").agg(F.count("*").alias("_texts"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_many").alias("_many"))
+    groups = steps.save(groups.where((F.col("_texts") == 1) & (F.col("_first") != F.col("_last"))).drop("_texts", "_last"))
+    places = each.select("_key", "_s", "_e", "_on", "_here", "_x", "_md")
+    met = salted_join(places, groups, ["_x", "_md"], "_here", "_many").where(F.col("_here") != F.col("_first"))
+    met = met.select("_key", "_s", "_e", "_on").distinct()
+
+    order = Window.partitionBy("_key").orderBy("_s")
+    apart = ~F.coalesce(F.col("_on") & (F.lag("_e").over(order) == F.col("_s") - 1), F.lit(False))
+    passages = met.withColumn("_new", apart.cast("int")).withColumn("_p", F.sum("_new").over(order))
+    passages = passages.groupBy("_key", "_p").agg(F.min("_s").alias("s"), F.max("_e").alias("e")).where(F.col("e") - F.col("s") + 1 >= min_lines)
+    gone = passages.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_gone"))
+
+    out = with_lines(base.join(gone, "_key", "left"), text)
+    # what stays lies between the passages, which are in order and apart
+    place = lambda g: F.struct(F.get(F.col("_full"), g["s"]).alias("s"), F.get(F.col("_full"), g["e"]).alias("e"))
+    end = F.array(F.struct(F.size("_lines").alias("s"), F.size("_lines").alias("e")))
+    out = out.withColumn("_gone", F.concat(F.transform("_gone", place), end))
 
     def between(g, k):
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("__ld_gone"), k - 1)["e"] + 1)
-        return F.slice(F.col("__ld_lines"), start + 1, F.greatest(g["s"] - start, F.lit(0)))
-
-    out = out.withColumn("__ld_kept", F.flatten(F.transform("__ld_gone", between)))
-    whole = F.col("__ld_gone").isNull()
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__ld_lines"))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(whole, F.lit(0)).otherwise(n - F.size("__ld_kept")).cast("long"))
-    out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join("__ld_kept", "\n")))
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("_gone"), k - 1)["e"] + 1)
+        return F.slice(F.col("_lines"), start + 1, F.greatest(g["s"] - start, F.lit(0)))
+
+    out = out.withColumn("_kept", F.flatten(F.transform("_gone", between)))
+    whole = F.col("_gone").isNull()
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_lines"))
+    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(whole, F.lit(0)).otherwise(n - F.size("_kept")).cast("long"))
+    out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join("_kept", "\n")))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], *ADDED)
 
 
-def sql(window: int = 2, divisor: int = 3, min_lines: int = 2, source: str = "documents") -> str:
+#: The name under which the pipeline calls it.
+passage_dedup = line_dedup
+
+
+def sql(divisor: int = 4, min_lines: int = 2, source: str = "documents") -> str:
     """DuckDB SQL for line_dedup over rows with distinct ids."""
-    powers = " + ".join(f"coalesce(lag(h, {k}) over w % {PRIME} * {pow(BASE, k, PRIME)} % {PRIME}, 0)" for k in range(window))
     return f"""
-WITH lines AS (
+WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM {source} WHERE text IS NOT NULL),
-hashed AS (SELECT *, CAST('0x' || md5(line)[1:8] AS BIGINT) AS h FROM lines),
-ended AS (
-  SELECT doc_id, line, i, CASE WHEN (({powers}) % {PRIME}) % {divisor} = 0 THEN 1 ELSE 0 END AS e
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended),
-chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM numbered GROUP BY doc_id, c),
-ranked AS (SELECT *, CASE WHEN n >= {min_lines} THEN row_number() OVER (PARTITION BY t, n >= {min_lines} ORDER BY doc_id, c) ELSE 1 END AS r FROM chunks),
+u AS (
+  SELECT doc_id, line, i, row_number() OVER w - 1 AS k, CAST('0x' || md5(line)[1:15] AS BIGINT) AS h
+  FROM l WHERE trim(line) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, xor(h << 1, lead(h) OVER (PARTITION BY doc_id ORDER BY k)) AS roll FROM u),
+seam AS (
+  SELECT doc_id, k, CASE WHEN roll IS NULL OR n = 1 THEN '.' WHEN roll % {divisor} <> 0 THEN 'u' WHEN f = 1 THEN 'C' ELSE 'c' END AS m
+  FROM (SELECT *, count(*) OVER (PARTITION BY roll) AS n, row_number() OVER (PARTITION BY roll ORDER BY doc_id, k) AS f FROM r)),
+b AS (
+  SELECT u.*, m, coalesce(lag(m) OVER (PARTITION BY u.doc_id ORDER BY u.k), '.') AS before FROM u JOIN seam USING (doc_id, k)),
+c AS (
+  SELECT *, sum(CASE WHEN before = 'u' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM b WHERE before <> '.' OR m <> '.'),
+chunk AS (SELECT doc_id, c, min(k) AS s, max(k) AS e, min(i) AS first, max(i) AS last, arg_min(before, k) = 'c' AS joined FROM c GROUP BY doc_id, c),
+t AS (
+  SELECT chunk.*, x.t FROM chunk JOIN (
+    SELECT chunk.doc_id, chunk.c, string_agg(line, chr(10) ORDER BY i) AS t FROM chunk JOIN l ON l.doc_id = chunk.doc_id AND l.i BETWEEN first AND last GROUP BY ALL) x USING (doc_id, c)),
+met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS f FROM t) WHERE f > 1),
+p AS (
+  SELECT *, sum(CASE WHEN joined AND prior = s - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS p
+  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), -1) AS prior FROM met)),
+gone AS (SELECT doc_id, p, min(first) AS first, max(last) AS last FROM p GROUP BY doc_id, p HAVING max(e) - min(s) + 1 >= {min_lines}),
 kept AS (
-  SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY c) FILTER (WHERE r = 1), '') AS text, CAST(sum(n) AS BIGINT) AS n_lines,
-         CAST(coalesce(sum(n) FILTER (WHERE r > 1), 0) AS BIGINT) AS n_removed
-  FROM ranked GROUP BY doc_id)
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone.p IS NULL), '') AS text, count(*) AS n_lines, count(gone.p) AS n_removed
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i BETWEEN first AND last GROUP BY l.doc_id)
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM {source} d LEFT JOIN kept k USING (doc_id)"""

@@ -18,10 +18,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.passage_dedup(documents(spark, sf_dir).select("doc_id", "text"))
-
-
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -83,7 +79,7 @@ def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op2_repeated_passages, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op6_nearest_neighbours, op7_importance_resampling, op8_merge_dropout, op9_toxicity, op10_best_fit_packing, op11_source_divergence, op12_target_resampling, op13_source_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_embedding_near_dedup, op4_personal_data, op5_ngram_join, op6_nearest_neighbours, op7_importance_resampling, op8_merge_dropout, op9_toxicity, op10_best_fit_packing, op11_source_divergence, op12_target_resampling, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

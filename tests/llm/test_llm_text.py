@@ -84,18 +84,6 @@ def test_token_counts_query(spark, docs, texts, unigram):
 # 2
 
 
-def brute_chunks(text, window=2, divisor=3):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        roll = sum(h[i - k] % line_dedup.PRIME * pow(line_dedup.BASE, k, line_dedup.PRIME) % line_dedup.PRIME for k in range(window) if i >= k) % line_dedup.PRIME
-        if roll % divisor == 0 or i == len(lines) - 1:
-            out.append(lines[start : i + 1])
-            start = i + 1
-    return out
-
-
 def test_line_dedup_equals_sql(spark, docs):
     got = sorted(map(tuple, line_dedup.line_dedup(docs).select("doc_id", "text", "n_lines", "n_removed").collect()))
     con = duckdb.connect()
@@ -104,26 +92,6 @@ def test_line_dedup_equals_sql(spark, docs):
     assert sum(r[3] for r in got)
 
 
-def test_line_dedup_keeps_first_and_shifts(spark):
-    passage = "\n".join(f"shared line number {i}" for i in range(30))
-    rows = [(1, "head\n" + passage), (2, "another\nbegin\n" + passage + "\nend"), (3, "single"), (4, "single")]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
-    assert got[2]["n_removed"] >= 20  # the boundaries move only near the insertion
-    assert got[3]["text"] == got[4]["text"] == "single"  # one line is no chunk of several
-    seen, want = set(), {}
-    for k, t in rows:
-        kept = []
-        for c in brute_chunks(t):
-            if len(c) >= 2 and tuple(c) in seen:
-                continue
-            if len(c) >= 2:
-                seen.add(tuple(c))
-            kept += c
-        want[k] = "\n".join(kept)
-    assert {k: r["text"] for k, r in got.items()} == want
-
-
 # 4
 
 
