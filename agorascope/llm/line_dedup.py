@@ -121,10 +121,6 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", divisor:
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], *ADDED)
 
 
-#: The name under which the pipeline calls it.
-passage_dedup = line_dedup
-
-
 def sql(divisor: int = 4, min_lines: int = 2, source: str = "documents") -> str:
     """DuckDB SQL for line_dedup over rows with distinct ids."""
     return f"""
