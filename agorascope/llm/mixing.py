@@ -104,7 +104,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     parties = steps.save(parties.select("skey", "shard", "a", part.alias("t")))
     words = sources.agg(F.sum("source_size")).first()[0] or 0
     quotas = seats(parties, (2 * words + block) // (2 * block))
-    begins = F.pmod(number(hashed(seed, F.col("skey"), F.col("shard").cast("string"))), F.ceil(F.col("a") / F.lit(block)).cast("long")) * block
+    begins = F.pmod(number(hashed(seed, F.col("skey"), F.col("shard").cast("string"))), F.greatest(F.ceil(F.col("a") / F.lit(block)).cast("long"), F.lit(1))) * block
     quotas = quotas.select("skey", "shard", "a", begins.alias("begin"), (begins + F.least(F.col("quota") * block, F.col("a") * most)).alias("end"))
     ring = Window.partitionBy("skey", "shard").orderBy("h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("at", F.sum("size").over(ring) - F.col("size")).join(quotas, ["skey", "shard"])
