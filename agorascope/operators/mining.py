@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import subsets
+from .cooccurrence import pair_counts
 from .steps import Steps
 from .vocab import numbered
 
@@ -42,19 +43,23 @@ def coded(items: DataFrame) -> DataFrame:
 def pair_support(found: DataFrame, least: int, kind: str = "document", same: DataFrame | None = None) -> DataFrame:
     """(a, b, support) of frequent pairs a < b; ``same`` (a, b) lists pairs that share a word and never go together.
 
-    Infrequent items are dropped before documents are joined with themselves, and pairs are counted as numbers.
+    Each document's frequent items are gathered as numbers once, and pairs are counted in blocks (cooccurrence.py). The
+    lists of numbers are written while the plan is built.
     """
     ids = coded(frequent_items(found, least, kind))
-    kept = found.join(ids, "item").select("doc", "id", "mult")
-    pairs = kept.join(kept.select("doc", F.col("id").alias("other"), F.col("mult").alias("m")), "doc").where("id < other")
-    measure = F.sum(F.least("mult", "m")) if kind == "posting" else F.count("*")
-    counted = pairs.groupBy((F.shiftleft("id", 32) + F.col("other")).alias("key")).agg(measure.alias("support")).where(F.col("support") >= least)
+    counted = pair_counts(item_lists(found, ids), least, kind == "posting")
     names = lambda c: ids.select(F.col("item").alias(c), F.col("id").alias(f"_{c}"))
-    out = counted.withColumn("_a", F.shiftright("key", 32)).withColumn("_b", F.col("key").bitwiseAND(F.lit(2**32 - 1)))
-    out = out.join(names("a"), "_a").join(names("b"), "_b").select("a", "b", "support")
+    out = counted.withColumnsRenamed({"a": "_a", "b": "_b"}).join(names("a"), "_a").join(names("b"), "_b").select("a", "b", "support")
     return out if same is None else out.join(same, ["a", "b"], "left_anti")
 
 
+def item_lists(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, ids ascending, mults): each document's numbered items, written once."""
+    kept = found.join(ids, "item").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "mult"))).alias("_l"))
+    lists = kept.select("doc", F.transform("_l", lambda x: x["id"]).alias("ids"), F.transform("_l", lambda x: x["mult"].cast("long")).alias("mults"))
+    return Steps(found.sparkSession, "lists").save(lists)
+
+
 def sharing(members: DataFrame) -> DataFrame:
     """(a, b), a < b: items and categories that share a word."""
     each = members.select("item", F.col("category").alias("x")).unionByName(members.select("item", F.col("item").alias("x"))).distinct()
