@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
-from ..operators import entities, mining, vocab
+from ..operators import entities, mining, projections, vocab
 from .tables import ITEMS, LEAST, MARKED_LEAST, TOKENS, table, turns, word_items, words
 
 #: Words of several languages, as entities for affinities.
@@ -44,8 +44,20 @@ def turn_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def itemsets_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the words of turns, which are as short as posts; a whole document's words have too many triples to list."""
-    sets = mining.itemsets(mining.postings(turn_items(spark, sf_dir)), LEAST, levels=3)
+    """Of the words of turns, which are as short as posts."""
+    sets = projections.mined(turn_items(spark, sf_dir), LEAST, levels=3, closed=False)
+    return sets.select(F.array_join("items", " ").alias("items"), "size", "support")
+
+
+def itemsets_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten levels of the words of turns, by their closed sets, which tell the support of every other."""
+    sets = projections.mined(turn_items(spark, sf_dir), LEAST, levels=10)
+    return sets.select(F.array_join("items", " ").alias("items"), "size", "support")
+
+
+def itemsets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sets of up to three words of whole documents; of more words there are too many to list."""
+    sets = projections.mined(word_items(spark, sf_dir), LEAST, levels=3, closed=False)
     return sets.select(F.array_join("items", " ").alias("items"), "size", "support")
 
 
@@ -158,7 +170,7 @@ def solver_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     token_doc_freq, pair_support, pair_lift, cond_probability, itemsets_k3, category_support_posting, category_pairs_posting, support_except, support_without, marked_pairs,
-    basket_pairs, itemset_support, complete_sentence_table, vocab_index, index_pad80, ids_to_text, oov_rate, affinity_scores, solver_affinity, itemsets_apart,
+    basket_pairs, itemset_support, complete_sentence_table, vocab_index, index_pad80, ids_to_text, oov_rate, affinity_scores, solver_affinity, itemsets_apart, itemsets_closed, itemsets_documents,
 ]
 
 _FREQ = f"freq AS (SELECT item, count(*) AS support FROM items GROUP BY item HAVING count(*) >= {LEAST})"
