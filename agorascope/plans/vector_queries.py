@@ -113,8 +113,9 @@ def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leader_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaders in a seeded order for several distances: clusters and points that stay alone, for each."""
-    found = C.multi_leader(points(spark, sf_dir), [0.9, 1.15, 1.4])
+    """Leaders in a seeded order for the toolkit's eleven distances: clusters and points of each. The table's vectors have
+    length 1, and these distances are of longer ones: twenty times as long, they lie on both sides of the usual distance."""
+    found = C.multi_leader(points(spark, sf_dir).withColumn("vector", F.transform("vector", lambda x: x.cast("double") * 20)))
     sizes = found.groupBy("eps", "leader").agg(F.count("*").alias("n"))
     return sizes.groupBy("eps").agg(F.count("*").alias("clusters"), F.sum("n").alias("points"))
 
