@@ -6,13 +6,14 @@ are decoded by Spark where ``spark.sql.legacy.javaCharsets`` allows it (``korean
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import split
+
 #: The columns of an article file, in order.
 ARTICLE = ["rating", "title", "content", "author_id", "tag", "article_id", "thread_id", "date", "time", "text_type", "tokens"]
 SENTENCE_LABEL = ["sentence_id", "article_id", "thread_id", "content", "label", "author"]
@@ -105,25 +106,11 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return raw.crossJoin(F.broadcast(header)).where(F.size("p") == F.col("dim") + 1).select(F.get("p", F.lit(0)).alias("word"), F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vector"))
 
 
-def read_word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vector) from word2vec's binary format: a header line, then word, blank and little-endian floats."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            for content in batch["content"]:
-                end = content.index(b"\n")
-                count, dim = map(int, content[:end].split())
-                at, words, vectors = end + 1, [], []
-                for _ in range(count):
-                    blank = content.index(b" ", at)
-                    words.append(content[at:blank].lstrip(b"\n").decode("utf-8", "replace"))
-                    at = blank + 1 + 4 * dim
-                    vectors.append(np.frombuffer(content[blank + 1 : at], "<f4").tolist())
-                yield pd.DataFrame({"word": words, "vector": vectors})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "word string, vector array<float>")
+def read_word2vec_binary(spark: SparkSession, path: str, part_bytes: int = 64 << 20, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(word, vector) from word2vec's binary format, split into ranges of ``part_bytes``; with a vocabulary (word), only
+    its words."""
+    found = split.load(spark, split.Word2Vec, path, partbytes=part_bytes)
+    return found if vocabulary is None else found.join(vocabulary.select("word").distinct(), "word", "left_semi")
 
 
 def read_vocabulary(spark: SparkSession, path: str, encoding: str = "UTF-8", offset: int = 0) -> DataFrame:
@@ -163,27 +150,10 @@ def read_relations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("thread_id long, article_id long, parent_thread long, parent_article long").csv(path)
 
 
-def read_cases(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(file, thread_id, entities, target, context) from files of length-prefixed blocks: a thread line, an entity line
-    (- for none), then blocks of a count and so many lines; the first block is the target, the others the context."""
-    if encoding.upper() not in ("UTF-8", "UTF8"):
-        korean(spark)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, text in zip(batch["path"], batch["text"]):
-                rest = iter(text.splitlines())
-                thread, names = int(next(rest).strip()), next(rest).strip()
-                blocks = []
-                for count in rest:
-                    if count.strip():
-                        blocks.append("\n".join(next(rest, "") for _ in range(int(count))))
-                out.append((name, thread, [] if names == "-" else [x.strip() for x in names.split(",")], blocks[0] if blocks else "", blocks[1:]))
-            yield pd.DataFrame(out, columns=["file", "thread_id", "entities", "target", "context"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.decode("content", encoding).alias("text")).mapInPandas(parse, "file string, thread_id long, entities array<string>, target string, context array<string>")
+def read_cases(spark: SparkSession, path: str, encoding: str = "UTF-8", part_bytes: int = 16 << 20) -> DataFrame:
+    """(file, thread_id, entities, target, context) from a folder of files of length-prefixed blocks, about ``part_bytes`` of
+    them a task; each file is streamed."""
+    return split.load(spark, split.Cases, path, encoding=encoding, partbytes=part_bytes)
 
 
 def read_maxent(spark: SparkSession, path: str) -> DataFrame:
@@ -203,20 +173,10 @@ def read_agreement(spark: SparkSession, reports: DataFrame, corpus: DataFrame, l
     return reports.where(F.col("label") == label).join(corpus, F.col("corpus_id") == F.col("id")).select("content")
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, names: list[str]) -> DataFrame:
-    """A table of a SQLite file, read in one task that streams it in batches; the file must be readable there."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sqlite3
-
-        for batch in batches:
-            for p, t in zip(batch["path"], batch["table"]):
-                with sqlite3.connect(f"file:{p}?mode=ro", uri=True) as db:
-                    found = db.execute("SELECT " + ", ".join(f'"{n}"' for n in names) + f' FROM "{t}"')
-                    while some := found.fetchmany(10_000):
-                        yield pd.DataFrame([[None if x is None else str(x) for x in r] for r in some], columns=names)
-
-    return spark.createDataFrame([(path, table)], "path string, table string").mapInPandas(rows, strings(names))
+def read_sqlite(spark: SparkSession, path: str, table: str, names: list[str], part_rows: int = 1_000_000) -> DataFrame:
+    """Columns of a table of a SQLite file, as strings, in ranges of ``part_rows`` row numbers; the file must be readable in
+    the tasks."""
+    return split.load(spark, split.Sqlite, path, strings(names), table=table, partrows=part_rows)
 
 
 def posts_only(articles: DataFrame) -> DataFrame:
