@@ -173,23 +173,38 @@ def trees(rows: DataFrame, id: str, text: str) -> DataFrame:
     return rows.select(id, F.explode(parsed(text)).alias("_n")).select(id, "_n.*")
 
 
+def clauses_of(tree: list, entity: str, clause: str) -> list[tuple[int, str]]:
+    """The lowest clauses of one tree's (node, parent, type, text), whose parents come before their children."""
+    children, holds, done, out = {}, set(), set(), []
+    for node, parent, *_ in tree:
+        children.setdefault(parent, []).append(node)
+    texts = {node: text for node, _, _, text in tree}
+    for node, parent, kind, text in reversed(tree):
+        if text and entity in text:
+            holds.add(node)
+        if kind == clause and node in holds and node not in done:
+            words, stack = [], [node]
+            while stack:
+                n = stack.pop()
+                if texts[n]:
+                    words.append(texts[n])
+                stack += reversed(children.get(n, []))
+            out.append((node, " ".join(words)))
+            done.add(node)
+        for marks in (holds, done):
+            if node in marks:
+                marks.add(parent)
+    return out[::-1]
+
+
 def lowest_clauses(nodes: DataFrame, entity: str, clause: str = "S", id: str = "id") -> DataFrame:
     """(id, node, text): of each tree the clauses nearest above a leaf that holds the entity, but those that have such a
-    clause below them; a clause's text is that of its leaves in order. nodes: as ``trees`` gives them."""
-    steps = Steps(nodes.sparkSession, "clauses")
-    up = steps.save(nodes.select(id, "node", "parent"))
-    # every node with each of its ancestors, itself included, one round a level of the deepest tree
-    front = above = up.select(id, "node", F.col("node").alias("top"), F.col("parent").alias("next"))
-    while front.where("next >= 0").limit(1).count():
-        parents = up.select(id, F.col("node").alias("next"), F.col("parent").alias("further"))
-        front = steps.save(front.where("next >= 0").join(parents, [id, "next"]).select(id, "node", F.col("next").alias("top"), F.col("further").alias("next")))
-        above = above.unionByName(front)
-    above = above.select(id, "node", "top").join(nodes.where(F.col("type") == clause).select(id, F.col("node").alias("top")), [id, "top"])
-    holds = above.join(nodes.where(F.contains("text", F.lit(entity))).select(id, "node"), [id, "node"], "left_semi").select(id, "top").distinct()
-    # a clause with another holding clause below is not the lowest
-    higher = above.where("node <> top").join(holds.select(id, F.col("top").alias("node")), [id, "node"], "left_semi").select(id, "top").distinct()
-    lowest = holds.join(higher, [id, "top"], "left_anti")
-    leaves = nodes.where("text <> ''").select(id, "node", "text")
-    each = above.join(lowest, [id, "top"], "left_semi").join(leaves, [id, "node"])
-    words = F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"])
-    return each.groupBy(id, F.col("top").alias("node")).agg(F.array_join(words, " ").alias("text"))
+    clause below them; a clause's text is that of its leaves in order. nodes: as ``trees`` gives them. A tree is one
+    sentence, so its nodes are gathered as one row and passed through once, however deep it is."""
+
+    @F.pandas_udf("array<struct<node:int,text:string>>")
+    def found(trees: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("node", "text"), c)) for c in clauses_of([tuple(n[x] for x in ("node", "parent", "type", "text")) for n in tree], entity, clause)] for tree in trees])
+
+    whole = nodes.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("node", "parent", "type", "text"))).alias("_tree"))
+    return whole.select(id, F.explode(found("_tree")).alias("_c")).select(id, "_c.*")

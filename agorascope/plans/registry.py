@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mining_queries, thread_queries, vector_queries
+from . import language_queries, mining_queries, thread_queries, vector_queries
 
-MODULES = (mining_queries, thread_queries, vector_queries)
+MODULES = (mining_queries, thread_queries, vector_queries, language_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
