@@ -42,7 +42,7 @@ def mentions(sentences: DataFrame, entities: DataFrame, id: str, text: str) -> D
     # what follows each place where a form may begin: the start, after a stop, blank, line end or question mark, or a cased letter after anything else
     places = r"(?s)(?:^|(?<=[. \n?])|(?<=[^\p{Ll}\p{Lu}])(?=[\p{Ll}\p{Lu}]))(?=(.{1,%d}))" % lengths[-1]
     tails = sentences.select(F.col(id).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(places), F.lit(1)))).alias("_tail"))
-    keys = tails.select("_id", F.explode(F.array(*[F.when(F.length("_tail") >= n, F.left("_tail", F.lit(n))) for n in lengths])).alias("_key")).where("_key IS NOT NULL").distinct()
+    keys = tails.select("_id", F.explode(F.array(*[F.when(F.length("_tail") >= n, F.left("_tail", F.lit(n))) for n in lengths])).alias("_key")).where("_key IS NOT NULL")
     return keys.join(forms, "_key").select(F.col("_id").alias(id), "group_id", "form").distinct()
 
 

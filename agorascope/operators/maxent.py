@@ -103,5 +103,7 @@ def to_table(spark: SparkSession, model: MaxEnt) -> DataFrame:
 
 
 def from_table(weights: DataFrame) -> MaxEnt:
-    rows = weights.limit(MOST_CELLS).collect()
+    rows = weights.limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} weights for one model on the driver")
     return MaxEnt({(r["position"], r["value"], r["label"]): r["weight"] for r in rows}, max(r["label"] for r in rows))

@@ -46,20 +46,22 @@ def earlier(rows: DataFrame, group: str, pos: str, text: str) -> DataFrame:
     return rows.withColumn("context", F.collect_list(text).over(w)).withColumn("n_before", F.size("context"))
 
 
-def mentions_so_far(rows: DataFrame, group: str, pos: str, entities: str) -> DataFrame:
-    """Rows with newest and oldest, the entities of the nearest and of the earliest row before that has any (else empty),
-    and seen, the distinct entities up to this row in the order of their first row.
-
-    No row carries the rows before it: newest and oldest are running values, and seen comes from each entity's first
-    place in its group, a list as long as the dictionary at most.
-    """
+def running_mentions(rows: DataFrame, group: str, pos: str, entities: str) -> DataFrame:
+    """Rows with newest and oldest, the entities of the nearest and of the earliest row before that has any (else empty):
+    running values, so that no row carries the rows before it."""
     w = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     some = F.when(F.size(entities) > 0, F.col(entities))
     empty = F.array().cast(rows.schema[entities].dataType)
+    return rows.withColumn("newest", F.coalesce(F.last(some, ignorenulls=True).over(w), empty)).withColumn("oldest", F.coalesce(F.first(some, ignorenulls=True).over(w), empty))
+
+
+def mentions_so_far(rows: DataFrame, group: str, pos: str, entities: str) -> DataFrame:
+    """As running_mentions, and seen, the distinct entities up to this row in the order of their first row: from each
+    entity's first place in its group, a list as long as the dictionary at most."""
+    empty = F.array().cast(rows.schema[entities].dataType)
     firsts = rows.select(F.col(group), F.col(pos).alias("_at"), F.posexplode(entities).alias("_k", "_e")).groupBy(group, "_e").agg(F.min(F.struct("_at", "_k")).alias("_p"))
     firsts = firsts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_p", "_e"))).alias("_firsts"))
-    out = rows.withColumn("newest", F.coalesce(F.last(some, ignorenulls=True).over(w), empty)).withColumn("oldest", F.coalesce(F.first(some, ignorenulls=True).over(w), empty))
-    out = out.join(firsts, group, "left")
+    out = running_mentions(rows, group, pos, entities).join(firsts, group, "left")
     here = F.transform(F.filter("_firsts", lambda f: f["_p"]["_at"] <= F.col(pos)), lambda f: f["_e"])
     return out.withColumn("seen", F.coalesce(here, empty)).drop("_firsts")
 

@@ -63,7 +63,7 @@ def itemsets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def itemsets_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the categories of the words' lengths, no set of which holds an item twice: neither a word and its category."""
-    items = turn_items(spark, sf_dir).where(F.length("item") <= 3)
+    items = turn_items(spark, sf_dir)
     members = length_members(items)
     sets = mining.itemsets(mining.postings(items, members), LEAST, levels=3, kind="posting", same=mining.sharing(members))
     return sets.select(F.array_join("items", " ").alias("items"), "size", "support")
@@ -200,7 +200,7 @@ two AS (SELECT l.item AS a, r.item AS b, count(*) AS support FROM kept l JOIN ke
 three AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS support FROM kept x JOIN kept y ON x.doc = y.doc AND x.item < y.item JOIN kept z ON x.doc = z.doc AND y.item < z.item
   GROUP BY ALL HAVING count(*) >= {LEAST})
 SELECT item AS items, 1 AS size, support FROM freq UNION ALL SELECT a || ' ' || b, 2, support FROM two UNION ALL SELECT a || ' ' || b || ' ' || c, 3, support FROM three""",
-    "itemsets_apart": f"""WITH {_TURNS}, short AS (SELECT * FROM items WHERE length(item) <= 3),
+    "itemsets_apart": f"""WITH {_TURNS}, short AS (SELECT * FROM items),
 postings AS (SELECT doc, item, item AS w, 0 AS l, 1 AS mult FROM short UNION ALL SELECT doc, '#' || length(item), NULL, length(item), count(*) FROM short GROUP BY doc, length(item)),
 freq AS (SELECT item, CAST(sum(mult) AS BIGINT) AS support FROM postings GROUP BY item HAVING sum(mult) >= {LEAST}),
 kept AS (SELECT * FROM postings WHERE item IN (SELECT item FROM freq)),

@@ -64,8 +64,14 @@ def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case, target_groups, newest, oldest, seen): each turn with what its conversation has mentioned so far, without
-    its earlier texts."""
+    """(case, target_groups, newest, oldest): each turn with what its conversation has mentioned so far, without its
+    earlier texts."""
+    found = H.running_mentions(mentioning(spark, sf_dir), "conv_id", "turn", "target_groups")
+    return found.withColumn("case", F.concat_ws("-", "conv_id", "turn"))
+
+
+def judged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with seen, all that has been mentioned so far, from which the gold comes."""
     found = H.mentions_so_far(mentioning(spark, sf_dir), "conv_id", "turn", "target_groups")
     return found.withColumn("case", F.concat_ws("-", "conv_id", "turn"))
 
@@ -118,12 +124,12 @@ def with_gold(found: DataFrame) -> DataFrame:
 
 
 def ea_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_gold(running_cases(spark, sf_dir)).withColumn("answer", E.running_first_only())
+    found = with_gold(judged_cases(spark, sf_dir)).withColumn("answer", E.running_first_only())
     return E.accuracy(found, "gold", "answer").withColumn("accuracy", F.round("accuracy", 6))
 
 
 def ea_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_gold(running_cases(spark, sf_dir)).withColumn("answer", E.running_first_only())
+    found = with_gold(judged_cases(spark, sf_dir)).withColumn("answer", E.running_first_only())
     out = E.hidden_scores(found, "gold", "answer")
     return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 

@@ -127,19 +127,21 @@ def dbscan_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of two clusterings: customers in debt by nation and by segment, as (word, clustering, category)."""
-    customer = table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    """Members of two clusterings: customers by nation and by segment, as (word, clustering, category)."""
+    customer = table(spark, sf_dir, "customer")
     one = customer.select(F.col("c_custkey").alias("word"), F.lit(0).alias("clustering"), F.col("c_nationkey").cast("string").alias("category"))
     return one.unionByName(customer.select(F.col("c_custkey").alias("word"), F.lit(1).alias("clustering"), F.col("c_mktsegment").alias("category")))
 
 
 def categories_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a nation and a segment that share no customer, and what a category's words are."""
-    members = clustered(spark, sf_dir)
+    """Pairs of a brand and a size that share no part."""
+    part = table(spark, sf_dir, "part")
+    of = lambda k, c: part.select(F.col("p_partkey").alias("word"), F.lit(k).alias("clustering"), F.col(c).cast("string").alias("category"))
+    members = of(0, "p_brand").unionByName(of(1, "p_size"))
     key = F.struct("clustering", "category")
     one, two = members.where("clustering = 0").select(key.alias("x")).distinct(), members.where("clustering = 1").select(key.alias("y")).distinct()
-    pairs = one.join(F.broadcast(two), F.col("x.clustering") < F.col("y.clustering"))  # 25 by 5
-    return C.different(members, pairs).select(F.col("x.category").alias("nation"), F.col("y.category").alias("segment"))
+    pairs = one.join(F.broadcast(two), F.col("x.clustering") < F.col("y.clustering"))  # 25 by 50
+    return C.different(members, pairs).select(F.col("x.category").alias("brand"), F.col("y.category").alias("size"))
 
 
 def category_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,11 +200,13 @@ def scf_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each labelled document two of another quality, drawn."""
+    """For each labelled document two others that neither are nor follow it: how many were drawn, all different, and how
+    many of these are among the positives."""
     labels = table(spark, sf_dir, "labels")
-    positives = labels.select(F.col("doc_id").alias("a")).select("a", F.col("a").alias("b"))
+    positives = labels.select(F.col("doc_id").alias("a"), F.explode(F.array("doc_id", F.col("doc_id") + 1)).alias("b"))
     found = S.negatives(labels.select(F.col("doc_id").alias("a")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b")), positives, per=2)
-    return found.groupBy("a").agg(F.count_distinct("b").alias("n"))
+    found = found.join(positives.withColumn("_wrong", F.lit(1)), ["a", "b"], "left")
+    return found.groupBy("a").agg(F.count_distinct("b").alias("n"), F.count("*").alias("n_drawn"), F.count("_wrong").alias("n_positive"))
 
 
 QUERIES = [
@@ -223,15 +227,19 @@ SQL = {
     "eps_components": f"""WITH RECURSIVE {_EDGES.format(limit=NEAR)}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT id, id AS other FROM p UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
 SELECT id, min(other) AS cluster FROM reach GROUP BY id""",
+    "dbscan": f"""WITH RECURSIVE {_EDGES.format(limit=1.5)}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+cores AS (SELECT a AS id FROM both_ways GROUP BY a HAVING count(*) + 1 >= 5), near AS (SELECT a, b FROM both_ways WHERE a IN (SELECT id FROM cores) AND b IN (SELECT id FROM cores)),
+reach AS (SELECT id, id AS other FROM cores UNION SELECT r.id, e.b FROM reach r JOIN near e ON r.other = e.a),
+inner_ AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id), border AS (SELECT a AS id, min(cluster) AS cluster FROM both_ways JOIN inner_ ON b = inner_.id GROUP BY a)
+SELECT p.id, coalesce(i.cluster, b.cluster) AS cluster, i.id IS NOT NULL AS core FROM p LEFT JOIN inner_ i ON p.id = i.id LEFT JOIN border b ON p.id = b.id""",
     "dbscan_cores": f"""WITH RECURSIVE {_EDGES.format(limit=NEAR)}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 cores AS (SELECT a AS id FROM both_ways GROUP BY a HAVING count(*) + 1 >= 4), near AS (SELECT a, b FROM both_ways WHERE a IN (SELECT id FROM cores) AND b IN (SELECT id FROM cores)),
 reach AS (SELECT id, id AS other FROM cores UNION SELECT r.id, e.b FROM reach r JOIN near e ON r.other = e.a)
 SELECT id, min(other) AS cluster FROM reach GROUP BY id""",
-    "categories_apart": """WITH c AS (SELECT * FROM customer WHERE c_acctbal < 0)
-SELECT CAST(n_nationkey AS VARCHAR) AS nation, s AS segment FROM (SELECT DISTINCT c_nationkey AS n_nationkey FROM c) CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM c)
-WHERE NOT EXISTS (SELECT 1 FROM c WHERE c_nationkey = n_nationkey AND c_mktsegment = s)""",
-    "category_words": "SELECT c_mktsegment AS category, count(*) AS n, md5(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS words FROM customer WHERE c_acctbal < 0 GROUP BY 1",
-    "items_expanded": """WITH b AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_nationkey, c_mktsegment FROM customer JOIN b ON c_custkey = k WHERE c_acctbal < 0)
+    "categories_apart": """SELECT b AS brand, CAST(s AS VARCHAR) AS size FROM (SELECT DISTINCT p_brand AS b FROM part) CROSS JOIN (SELECT DISTINCT p_size AS s FROM part)
+WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand = b AND p_size = s)""",
+    "category_words": "SELECT c_mktsegment AS category, count(*) AS n, md5(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS words FROM customer GROUP BY 1",
+    "items_expanded": """WITH b AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_nationkey, c_mktsegment FROM customer JOIN b ON c_custkey = k)
 SELECT CAST(NULL AS INTEGER) AS clustering, count(*) AS n FROM b UNION ALL SELECT 0, count(DISTINCT c_nationkey) FROM c UNION ALL SELECT 1, count(DISTINCT c_mktsegment) FROM c""",
     "lone_items": f"""WITH {_DEPENDS}, near AS (SELECT target AS item, dependent AS other FROM deps WHERE p >= 0.17 UNION SELECT dependent, target FROM deps WHERE p >= 0.17),
 c AS (SELECT i.doc, i.item, count(o.item) AS n FROM items i LEFT JOIN near USING (item) LEFT JOIN items o ON o.doc = i.doc AND o.item = near.other GROUP BY i.doc, i.item)
@@ -241,7 +249,7 @@ found AS (SELECT n.* FROM needed n JOIN items b ON b.doc + 1 = n.doc AND b.item
 SELECT omitted, count(*) AS n, round(max(p), 6) AS probability FROM found GROUP BY omitted""",
     "first_dependents": f"""WITH {_DEPENDS}, f AS (SELECT '#' || left(dependent, 1) AS first FROM deps)
 SELECT first, count(*) AS n FROM f GROUP BY first UNION ALL SELECT item, count(*) FROM f JOIN (SELECT DISTINCT item FROM items) ON '#' || left(item, 1) = first GROUP BY item""",
-    "negative_pairs": "SELECT doc_id AS a, CAST(2 AS BIGINT) AS n FROM labels",
+    "negative_pairs": "SELECT doc_id AS a, CAST(2 AS BIGINT) AS n, CAST(2 AS BIGINT) AS n_drawn, CAST(0 AS BIGINT) AS n_positive FROM labels",
     "simple_sentences": r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?…][''"]?)\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
 s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(x, '^[.!?…\s]+', '')), lambda x: x <> '') AS l FROM p)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_sentences, md5(array_to_string(l, chr(10))) AS sentences FROM s""",
