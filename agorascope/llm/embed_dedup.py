@@ -17,7 +17,7 @@ equal in all components are one class, counted with its size.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing; repeated ids are
 separate vectors (each row is counted) and get the smallest id as component; an empty table gives an empty result; a null
-id sorts first; other columns are ignored.
+id names no component that has another id, and its row is not kept there; other columns are ignored.
 """
 
 from __future__ import annotations

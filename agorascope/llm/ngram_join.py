@@ -20,8 +20,8 @@ a smallest neighbour for each row, never pairs. Keys with many rows are salted w
 written to the shared checkpoint folder; nothing but small counts reaches the driver.
 
 Edge cases: null, empty and blank texts have no n-grams and link with nothing; repeated rows are members of one class
-(each counts the others as links); a null id is allowed and sorts first; other columns are ignored; an empty table
-gives an empty result.
+(each counts the others as links); a null id names no component that has another id, and its row is not kept
+there; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

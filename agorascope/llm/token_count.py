@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import kept
+from .common import kept, smaller
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -113,8 +113,8 @@ def token_counts(docs: DataFrame, vocab_path: str, id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("unigram", vocab_path, byte_fallback), lambda: Unigram.from_file(vocab_path, byte_fallback=byte_fallback))
-        for batch in batches:
-            got = [model.count(x) for x in batch.column(1).to_pylist()]
+        for batch in smaller(batches, 1):
+            got = [model.count(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64())], [id, "n_tokens", "score"])
 
     rows = docs.select(id, text)

@@ -12,8 +12,9 @@ driver gets ``most`` features and, of each sampled document, which of these it h
 texts; each worker remembers which chosen features a word has in a memo of bounded size.
 
 Edge cases: null and empty texts get the score of no feature; documents with a null id are never learned from and are
-not held out; of several documents with one id one is learned from; several labels of one id count as toxic if one does; without both classes every score is the share of
-toxic labels (0 without labels); equal texts get equal scores.
+not held out; of several documents with one id one is learned from; several labels of one id count as toxic if one does;
+labels other than 0 and 1 are not learned from; without both classes every score is the share of toxic labels (0 without
+labels); equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, shuffle_partitions
+from .common import Memo, kept, shuffle_partitions, smaller
 
 WORD = re.compile(r"\w+")
 # Identity terms by group; those of a group are swapped for each other.
@@ -109,7 +110,7 @@ def fit(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, swap_weight:
 def train(docs: DataFrame, labels: DataFrame, id: str, text: str, sample: int, most: int, swap_weight: float, ridge: float, rounds: int) -> tuple[list[int], np.ndarray, float]:
     """Chosen features, their weights, the bias."""
     spark = docs.sparkSession
-    names = labels.select(F.col("doc_id").alias("__t_id"), F.col("toxic").cast("int").alias("toxic")).where("__t_id IS NOT NULL AND toxic IS NOT NULL")
+    names = labels.select(F.col("doc_id").alias("__t_id"), F.col("toxic").cast("int").alias("toxic")).where("__t_id IS NOT NULL AND toxic IN (0, 1)")
     names = names.where(~held_out("__t_id")).groupBy("__t_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__t_id"), "__t_id").limit(sample)
     rows = names.collect()  # at most ``sample`` rows
     toxic = sum(r["toxic"] == 1 for r in rows)
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str, sample: int, m
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = (Counter(), Counter())
-        for batch in batches:
+        for batch in smaller(batches, 0):
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 totals[y].update({f for w in set(words(t)) for f in features(w)})
                 totals[y][0] += 1  # the number of documents
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str, sample: int, m
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chooser = Chooser(chosen)
-        for batch in batches:
+        for batch in smaller(batches, 0):
             own, twin = [], []
             for t in batch.column(0).to_pylist():
                 own.append(chooser.text(t).tolist())
@@ -173,8 +174,8 @@ def scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chooser = kept(("toxicity", tuple(chosen)), lambda: Chooser(chosen))
-        for batch in batches:
-            z = np.array([bias + weights[chooser.text(t)].sum() for t in batch.column(2).to_pylist()], np.float64)
+        for batch in smaller(batches, 2):
+            z = np.array([bias + weights[chooser.text(t.as_py())].sum() for t in batch.column(2)], np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id, "held_out", "score", "predicted"])
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agorascope.llm import ann_forest, embed_dedup, line_dedup, merge_dropout, ngram_join, packing, pii, quality, token_count, toxicity
+from agorascope.llm import ann_forest, divergence, embed_dedup, line_dedup, merge_dropout, mixing, ngram_join, packing, pii, quality, target_sampling, token_count, toxicity
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 CLASHES = ["n_lines", "spans", "score", "ids", "n_tokens", "length", "offset", "node", "key", "digest", "log_weight", "selected", "size", "rank", "toxic", "quality", "h", "held_out"]
@@ -30,7 +30,7 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(1, 1, 0), (4, 1, 1), (4, 0, 0), (None, 1, 1), (99, None, None), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(1, 1, 0), (4, 1, 1), (4, 0, 0), (None, 1, 1), (99, None, None), (7, 1, 1), (3, 1, 7), (5, 0, -1)], "doc_id long, quality int, toxic int")
 
 
 def vectors(spark, rows):
@@ -47,6 +47,9 @@ TEXT = {
     "quality": (lambda d, l: quality.resample(d, l), 10),
     "dropout": (lambda d, l: merge_dropout.encode(d, PIECES), 10),
     "toxicity": (lambda d, l: toxicity.scores(d, l), 10),
+    "divergence": (lambda d, l: divergence.audit(d), 0),
+    "mixing": (lambda d, l: mixing.mix(d), 10),
+    "target": (lambda d, l: target_sampling.resample(d, d.select("text")), 10),
 }
 
 
@@ -99,6 +102,9 @@ def test_defined_results(odd, labels):
     assert len(first) == 2 and first[0] == first[1]  # equal rows give equal results
     near = {(r["doc_id"], r["n_links"]) for r in ngram_join.near_duplicates(odd).collect()}
     assert near == {(1, 2), (7, 2), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (None, 0)}
+    blank = odd.withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))
+    alone = {(r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in ngram_join.near_duplicates(blank).where("n_links > 0").collect()}
+    assert alone == {(None, 2, 7, False), (7, 2, 7, True)}
     dropout = {r["doc_id"]: (r["ids"], r["lossless"]) for r in merge_dropout.encode(odd, PIECES).where("doc_id IN (2, 3, 6)").collect()}
     assert dropout[2] == (None, None) and dropout[3] == ([], True) and dropout[6][1]
     toxic = toxicity.scores(odd, labels).collect()
@@ -112,6 +118,8 @@ def test_odd_vectors(spark):
     rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (50, [1.0, 2.1], None), (100, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [1e30, 2e30], 0), (7, [1e-30, 2e-30], 0)]
     got = embed_dedup.near_duplicates(vectors(spark, rows)).collect()
     assert sorted(r["n_links"] for r in got) == [0, 0, 0, 5, 5, 5, 5, 5, 5]
+    linked = {r["vec_id"]: (r["component_id"], r["kept"]) for r in got}
+    assert linked == {1: (1, True), None: (1, False), 50: (1, False), 6: (1, False), 7: (1, False), 100: (100, True), 4: (4, True), 5: (5, True)}
     near = ann_forest.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()
     assert sorted((r["query_id"], r["rank"]) for r in near) == [(50, k) for k in range(1, 6)]
     assert embed_dedup.near_duplicates(vectors(spark, [])).collect() == []
