@@ -15,18 +15,16 @@ the last one. The rate falls by 1.5 when the held-out loss has not fallen, and t
 
 from __future__ import annotations
 
-import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import Steps
-from .vocab import numbered
+from . import descent
+from .descent import latest, saved, summed
 
-PIECE = 4_096
 #: The columns of cases.
 CASE = "case string, words array<array<int>>, entities array<array<int>>, gold array<int>"
 
@@ -107,43 +105,28 @@ def passed(shape: Shape, flat: np.ndarray, bags: np.ndarray, marks: np.ndarray,
     return rows[:, -1], gradient
 
 
-def dealt(cases: DataFrame, batch: int, shards: int) -> DataFrame:
-    """Cases with a dense number, and by it a batch and a shard; written once."""
-    rows = numbered(cases.select("case", "words", "entities", "gold"), "case", 0, "number")
-    rows = rows.withColumn("batch", F.floor(F.col("number") / batch).cast("int")).withColumn("shard", F.pmod("number", F.lit(shards)).cast("int"))
-    return Steps(cases.sparkSession, "cases").save(rows)
-
-
 def gradients(rows: DataFrame, shape: Shape, flat: np.ndarray, shards: int, slice_: int = 256) -> tuple[np.ndarray, float, int]:
     """The summed gradient and squared error over the rows, and their number."""
 
-    def of_shard(task: pa.Table) -> pa.Table:
-        task, total, loss = task.sort_by("number"), np.zeros(shape.size()), 0.0
+    def of_shard(task: pa.Table) -> np.ndarray:
+        total, loss = np.zeros(shape.size()), 0.0
         for at in range(0, len(task), slice_):
             part = task.slice(at, slice_)
             bags, marks, want = arrays(shape, *(part[c].to_pylist() for c in ("words", "entities", "gold")))
             found, gradient = passed(shape, flat, bags, marks, want)
             total += gradient
             loss += float(np.square(found - want).sum())
-        whole = np.concatenate([total, [loss, len(task)]])
-        pieces = [whole[k : k + PIECE] for k in range(0, len(whole), PIECE)]
-        return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "shard": pa.array([task["shard"][0].as_py()] * len(pieces), pa.int32()), "g": pa.array(pieces, pa.list_(pa.float64()))})
-
-    def summed(task: pa.Table) -> pa.Table:
-        task = task.sort_by("shard")
-        total = np.sum(np.array(task["g"].to_pylist()), 0)
-        return pa.table({"piece": task["piece"].slice(0, 1), "shard": task["shard"].slice(0, 1), "g": pa.array([total], pa.list_(pa.float64()))})
-
-    kind = "piece int, shard int, g array<double>"
-    found = rows.groupBy("shard").applyInArrow(of_shard, kind)
-    fan = max(1, round(shards**0.5))
-    found = found.groupBy("piece", F.floor(F.col("shard") / fan).alias("_part")).applyInArrow(summed, kind)
-    found = found.groupBy("piece").applyInArrow(summed, kind)
-    pieces = sorted((r["piece"], r["g"]) for r in found.collect())  # the parameters' number, and two more
-    whole = np.concatenate([g for _, g in pieces]) if pieces else np.zeros(shape.size() + 2)
+        return np.concatenate([total, [loss, len(task)]])
+
+    whole = summed(rows, of_shard, shape.size() + 2, shards)
     return whole[:-2], float(whole[-2]), int(whole[-1])
 
 
+def dealt(cases: DataFrame, batch: int, shards: int) -> DataFrame:
+    """Cases with a dense number, and by it a batch and a shard; written once."""
+    return descent.dealt(cases.select("case", "words", "entities", "gold"), "case", batch, shards)
+
+
 @dataclass
 class Run:
     """All that a run needs to go on."""
@@ -167,19 +150,6 @@ class Run:
         self.flat = self.flat - self.rate * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.999**self.steps)) + 1e-8)
 
 
-def saved(spark: SparkSession, run: Run, path: str) -> None:
-    spark.createDataFrame([(run.epoch, bytearray(pickle.dumps(run)))], "epoch int, run binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={run.epoch:05d}")
-
-
-def latest(spark: SparkSession, path: str) -> Run | None:
-    """The run after its last epoch, if there is one; the folder must be one that only runs are written to."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return None
-    rows = spark.read.option("basePath", path).parquet(path).orderBy(F.desc("epoch")).limit(1).collect()
-    return pickle.loads(bytes(rows[0]["run"])) if rows else None
-
-
 def train(
     cases: DataFrame, held: DataFrame, shape: Shape, path: str | None = None, epochs: int = 1_000, batch: int = 4_096, rate: float = 1e-2, least_rate: float = 1e-5, most_norm: float = 40.0, shards: int = 16, seed: int = 0, most: int = 5_000_000
 ) -> Run:
