@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .steps import Steps
@@ -88,10 +90,6 @@ def match(tokens: list, arguments: list) -> tuple[list, list, list]:
     return pairs, left, open_
 
 
-def as_tokens(rows) -> list:
-    return [(r["word"], None if r["tags"] is None else tuple(r["tags"])) for r in (rows if rows is not None else [])]
-
-
 def heads(tokens: list, frames: Frames) -> list[str]:
     return [w for w, _ in tokens if w in frames]
 
@@ -108,31 +106,87 @@ def complete(tokens: list, frames: Frames) -> bool:
     return True
 
 
+TOKENS, ARGUMENTS = "array<struct<word:string,tags:array<string>>>", "array<struct<tag:string,role:string>>"
+
+
+def listed(tokens: Column) -> Column:
+    """Tokens (word, tags), none where they are null."""
+    return F.coalesce(F.transform(tokens, lambda t: F.struct(t["word"].alias("word"), t["tags"].alias("tags"))), F.array().cast(TOKENS))
+
+
+def arguments_of(frame: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(role).alias("role")) for tag, role in frame]).cast(ARGUMENTS)
+
+
+def that_fit(tokens: Column, argument: Column) -> Column:
+    return F.filter(tokens, lambda t: F.array_contains(t["tags"], argument["tag"]))
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), of)[0]
+
+
+def matched(tokens: Column, arguments: Column) -> Column:
+    """``match`` as a column: (left, taken, open), taken the words; one pass over the arguments, which are few."""
+
+    def next_(state: Column, argument: Column) -> Column:
+        def with_found(found: Column) -> Column:
+            left = F.when(found.isNull(), state["left"]).otherwise(F.filter(state["left"], lambda t: ~t.eqNullSafe(found)))
+            taken = F.when(found.isNull(), state["taken"]).otherwise(F.concat(state["taken"], F.array(found["word"])))
+            open_ = F.when(found.isNull(), F.concat(state["open"], F.array(argument))).otherwise(state["open"])
+            return F.struct(left.alias("left"), taken.alias("taken"), open_.alias("open"))
+
+        return bound(F.try_element_at(that_fit(state["left"], argument), F.lit(1)), with_found)
+
+    start = F.struct(tokens.alias("left"), F.array().cast("array<string>").alias("taken"), F.array().cast(ARGUMENTS).alias("open"))
+    return F.aggregate(arguments, start, next_)
+
+
+def filled(tokens: Column, arguments: Column) -> Column:
+    """Whether each argument finds a token of its own, equal ones counted by themselves."""
+
+    def next_(state: Column, argument: Column) -> Column:
+        fit = F.transform(state["left"], lambda t: F.coalesce(F.array_contains(t["tags"], argument["tag"]), F.lit(False)))
+        without = lambda at: F.struct(F.filter(state["left"], lambda t, i: i != at - 1).alias("left"), (state["all"] & (at > 0)).alias("all"))
+        return bound(F.array_position(fit, True).cast("int"), without)
+
+    return F.aggregate(arguments, F.struct(tokens.alias("left"), F.lit(True).alias("all")), next_, lambda state: state["all"])
+
+
+def of_heads(tokens: Column, frames: Frames, of: Callable[[list], Column], kind: str) -> Column:
+    """``of`` the frame of each word that is a head, in the words' order; worked out once a frame whose head occurs."""
+    if not frames:
+        return F.array().cast(f"array<{kind}>")
+    names = F.array(*map(F.lit, frames))
+
+    def of_words(words: Column) -> Column:
+        each = F.array(*[F.when(F.array_contains(words, head), of(frame)) for head, frame in frames.items()])
+        return bound(each, lambda found: F.transform(words, lambda w: F.element_at(found, F.array_position(names, w).cast("int"))))
+
+    return bound(F.filter(F.transform(tokens, lambda t: t["word"]), lambda w: w.isin(*frames)), of_words)
+
+
+def open_arguments(tokens: Column, frames: Frames) -> Column:
+    """The arguments (tag, role) that no token fills, of all heads in turn."""
+    return F.flatten(of_heads(tokens, frames, lambda frame: matched(tokens, arguments_of(frame))["open"], ARGUMENTS))
+
+
 def with_completeness(sentences: DataFrame, frames: Frames = FRAMES) -> DataFrame:
     """Adds complete, and open: the roles of arguments that no token fills."""
 
-    @F.pandas_udf("complete boolean, open array<string>")
-    def judged(tokens: pd.Series) -> pd.DataFrame:
-        found = [as_tokens(t) for t in tokens]
-        return pd.DataFrame({"complete": [complete(t, frames) for t in found], "open": [[a[1] for h in heads(t, frames) for a in match(t, frames[h])[2]] for t in found]})
+    def judged(tokens: Column) -> Column:
+        whole = F.forall(of_heads(tokens, frames, lambda frame: filled(tokens, arguments_of(frame)), "boolean"), lambda x: x)
+        return F.struct(whole.alias("complete"), F.transform(open_arguments(tokens, frames), lambda a: a["role"]).alias("open"))
 
-    out = sentences.withColumn("_j", judged("tokens"))
+    out = sentences.withColumn("_j", bound(listed(F.col("tokens")), judged))
     return out.select(*sentences.columns, F.col("_j.complete").alias("complete"), F.col("_j.open").alias("open"))
 
 
 def recovered(pairs: DataFrame, frames: Frames = FRAMES, target: str = "target", context: str = "context") -> DataFrame:
     """Adds recovered: context words that fill the target's open arguments; both columns are arrays of (word, tags)."""
-
-    @F.pandas_udf("array<string>")
-    def fill(targets: pd.Series, contexts: pd.Series) -> pd.Series:
-        out = []
-        for t, c in zip(targets, contexts):
-            own = as_tokens(t)
-            wanted = [a for h in heads(own, frames) for a in match(own, frames[h])[2]]
-            out.append([token[0] for token, _ in match(as_tokens(c), wanted)[0]])
-        return pd.Series(out)
-
-    return pairs.withColumn("recovered", fill(target, context))
+    wanted = bound(listed(F.col(target)), lambda tokens: open_arguments(tokens, frames))
+    return pairs.withColumn("recovered", matched(listed(F.col(context)), wanted)["taken"])
 
 
 def parse_tree(text: str) -> list[tuple[int, int, str, str]]:
