@@ -2,13 +2,14 @@
 
 The dictionary (form, tag, weight) holds log P(form | tag), the transitions (a, b, weight) log P(b | a); "^" stands before
 a sentence and "$" behind it. Both are tables, read from a model's files or counted from tagged sentences. All forms of the
-dictionary that begin at a place of a word are edges of its lattice, found in one walk down a trie; a character of its own
+dictionary that begin at a place of a word are edges of its lattice, found by their lengths in one table; a character of its own
 is one more, with the weight ``unknown`` and the tag UNKNOWN, so every word has a path. A transition that no row has costs
 ``missing``. Weights count in whole thousandths, so that sums are exact.
 
 A word is solved once for each pair of a first and a last tag, whatever stands beside it; a sentence is the best chain of
-its words' pairs. A worker keeps the words it has solved, up to a bound. Sentences are tasks' rows and are never put
-together; what is sent to the tasks are the two tables, whose sizes are checked.
+its words' pairs. A worker keeps the words it has solved, up to a bound of words and of morphemes; of two such sets the
+older one goes. Sentences are tasks' rows and are never put together, and leave a task in parts of bounded size; what is
+sent to the tasks are the two tables, whose sizes are checked.
 
 Ties go to fewer morphemes, then to the smaller tag, from the end. Neighbouring unknown characters are one morpheme.
 Null text has no morphemes (an empty array), and so has a text without words.
@@ -18,38 +19,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 UNKNOWN, BEGIN, END = "Unknown", "^", "$"
 Path = tuple[int, int, tuple[tuple[str, str], ...]]  # score, minus the number of morphemes, morphemes
 
 
+#: What a task hands over, and what one set of solved words holds: so many morphemes at most, and a sentence or word more.
+PART, SOLVED = 100_000, 300_000
+
+
 class Model:
-    """The dictionary as a trie, and what has been solved."""
+    """The dictionary, and what has been solved."""
 
-    def __init__(self, forms: list[tuple[str, str, int]], pairs: list[tuple[str, str, int]], unknown: int, missing: int, kept: int = 200_000):
-        self.trie: dict = {}
+    def __init__(self, forms: list[tuple[str, str, int]], pairs: list[tuple[str, str, int]], unknown: int, missing: int, kept: int = 20_000):
+        # a form with one tag, as most are, is held as a tuple that all forms of that tag and weight share
+        self.forms: dict[str, tuple[tuple[str, int], ...]] = {}
+        self.longest: dict[str, int] = {}  # form, by its first two characters
+        shared: dict = {}
         for form, tag, weight in forms:
-            node = self.trie
-            for c in form:
-                node = node.setdefault(c, {})
-            known = node.setdefault("", {})
+            known = dict(self.forms.get(form, ()))
             known[tag] = max(weight, known.get(tag, weight))
+            each = tuple(known.items())
+            self.forms[form] = shared.setdefault(each, each)
+            if len(form) > self.longest.get(form[:2], 0):
+                self.longest[form[:2]] = len(form)
         self.pairs = {(a, b): w for a, b, w in pairs}
         self.unknown, self.missing, self.kept, self.solved = unknown, missing, kept, {}
+        self.older, self.held = {}, 0
 
     def edges(self, word: str, at: int) -> Iterator[tuple[int, str, int]]:
         """(end, tag, weight) of the morphemes that begin at a place."""
         yield at + 1, UNKNOWN, self.unknown
-        node = self.trie
-        for end in range(at, len(word)):
-            node = node.get(word[end])
-            if node is None:
-                return
-            for tag, weight in node.get("", {}).items():
-                yield end + 1, tag, weight
+        for end in range(at + 1, min(len(word), at + max(1, self.longest.get(word[at : at + 2], 1))) + 1):
+            for tag, weight in self.forms.get(word[at:end], ()):
+                yield end, tag, weight
 
     def step(self, a: str, b: str) -> int:
         return self.pairs.get((a, b), self.missing)
@@ -59,6 +66,9 @@ class Model:
         found = self.solved.get(word)
         if found is not None:
             return found
+        found = self.older.get(word)
+        if found is not None:
+            return self.keep(word, found)
         # at each place, by (first, last): score, count, and the edge that led there
         best: list[dict] = [{} for _ in range(len(word) + 1)]
         for at in range(len(word)):
@@ -80,9 +90,13 @@ class Model:
                 end, now = at, back[1]
                 back = best[end][now][2]
             found[key] = (score, n, tuple(reversed(morphemes)))
-        if len(self.solved) >= self.kept:
-            self.solved.clear()
+        return self.keep(word, found)
+
+    def keep(self, word: str, found: dict[tuple[str, str], Path]) -> dict[tuple[str, str], Path]:
+        if len(self.solved) >= self.kept or self.held >= SOLVED:
+            self.older, self.solved, self.held = self.solved, {}, 0
         self.solved[word] = found
+        self.held += sum(len(path) for _, _, path in found.values())
         return found
 
     def sentence(self, words: list[str]) -> tuple[int, list[tuple[str, str]]]:
@@ -134,17 +148,35 @@ def tagged(rows: DataFrame, words: Column, dictionary: DataFrame, transitions: D
     forms, pairs = collected(dictionary.where("form <> ''"), ["form", "tag"], most), collected(transitions, ["a", "b"], most)
     limits = round(unknown * 1000), round(missing * 1000)
 
-    @F.pandas_udf("array<struct<word:string,pos:string>>")
-    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = ArrayType(StructType([StructField("word", StringType()), StructField("pos", StringType())]))
+    given = rows.withColumn("_words", words)
+    schema = StructType([*given.drop("_words", name).schema.fields, StructField(name, kind)])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(forms, pairs, *limits)
         for batch in batches:
-            out = []
-            for each in batch:
-                own = [w for w in (each if each is not None else []) if w]
-                out.append([{"word": w, "pos": p} for w, p in merged(model.sentence(own)[1], [len(w) for w in own])])
-            yield pd.Series(out)
-
-    return rows.withColumn(name, solve(words))
+            column = batch.column(batch.schema.get_field_index("_words"))
+            others = batch.select(schema.names[:-1])
+            start, ends, found, tags = 0, [0], [], []
+
+            def part(end: int) -> pa.RecordBatch:
+                own = others.slice(start, end - start)
+                solved = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(tags, pa.string())], ["word", "pos"])
+                return pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), solved)], schema.names)
+
+            for k in range(batch.num_rows):
+                own = [w for w in (column[k].as_py() or []) if w]
+                for w, p in merged(model.sentence(own)[1], [len(w) for w in own]):
+                    found.append(w)
+                    tags.append(p)
+                ends.append(len(found))
+                if len(found) >= PART:
+                    yield part(k + 1)
+                    start, ends, found, tags = k + 1, [0], [], []
+            if start < batch.num_rows:
+                yield part(batch.num_rows)
+
+    return given.drop(name).mapInArrow(solve, schema)
 
 
 def trained(tokens: DataFrame, id: str = "id", pos: str = "pos") -> tuple[DataFrame, DataFrame]:

@@ -144,3 +144,19 @@ def test_clauses_of_parsed_sentences(spark):
     assert got == {k: x for k, x in want.items() if x}
     clauses = {(r["id"], r["text"]) for r in frames.lowest_clauses(nodes, "ba").collect()}
     assert (1, "ab ba c") in clauses and all("ba" in text for _, text in clauses)
+
+
+def test_what_a_worker_holds_is_bounded(spark, monkeypatch):
+    """Long words, each solved for all pairs of tags: morphemes bound what is kept, not only words; parts change no result."""
+    monkeypatch.setattr(tagger, "SOLVED", 500)
+    model, rng = tagger.Model(FORMS, PAIRS, UNKNOWN, MISSING), random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(12)) for _ in range(400)]
+    first = [model.sentence([w]) for w in words]
+    held = sum(len(path) for kept in (model.solved, model.older) for each in kept.values() for *_, path in each.values())
+    most = max(sum(len(path) for *_, path in model.word(w).values()) for w in words)
+    assert held <= 2 * (500 + most) and [model.sentence([w]) for w in words] == first
+    rows = spark.createDataFrame([(k, words[k : k + k % 5]) for k in range(60)], "id int, words array<string>")
+    ask = lambda: {r["id"]: r["tagged"] for r in tagger.tagged(rows, F.col("words"), *tables(spark), UNKNOWN / 1000, MISSING / 1000).collect()}
+    whole = ask()
+    monkeypatch.setattr(tagger, "PART", 7)
+    assert ask() == whole and whole[5] == []
