@@ -13,7 +13,7 @@ from ..operators import entities as E
 from ..operators import frames as R
 from ..operators import maxent, mining, models
 from ..operators import sampling as S
-from .tables import table, words
+from .tables import spread, table, words
 from .thread_queries import cases, with_gold
 
 NEAR = 1.25
@@ -78,7 +78,7 @@ def scf_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", N.sentences("text").alias("s"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", N.sentences("text").alias("s"))
     return found.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("sentences"))
 
 
