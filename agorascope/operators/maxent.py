@@ -173,14 +173,25 @@ def train_in_tasks(rows: DataFrame, rounds: int = 200, newton: int = 50, eps: fl
     return MaxEnt({(i, v, y + 1): float(run.weights[i, v, y]) for i in range(width) for v in range(top[i] + 1) for y in range(labels)}, labels)
 
 
-def classify(rows: DataFrame, model: MaxEnt) -> DataFrame:
-    """Rows (features) with predicted, in DataFrame functions; the weights are one map in the plan."""
-    names = sorted(model.weights)
-    weights = F.map_from_arrays(F.lit([f"{i}:{v}:{y}" for i, v, y in names]), F.lit([float(np.exp(model.weights[k])) - 1.0 for k in names]))
+def classify(rows: DataFrame, model: MaxEnt, most: int = 5_000_000) -> DataFrame:
+    """Rows (features) with predicted, in DataFrame functions; the weights are one array in the plan, in the order of labels, positions
+    and values, so that each is found by its place. Values far apart, whose array were longer than ``most``, are refused."""
+    counts: dict[int, int] = {}
+    for i, v, _ in model.weights:
+        counts[i] = max(counts.get(i, 0), v + 1)
+    sizes = [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
+    starts, stride = [sum(sizes[:i]) for i in range(len(sizes))], sum(sizes)
+    if stride * model.labels > most:
+        raise ValueError(f"more than {most} places for weights")
+    placed = np.zeros(max(1, stride * model.labels))
+    for (i, v, y), w in model.weights.items():
+        placed[(y - 1) * stride + starts[i] + v] = np.exp(w) - 1.0
+    weights, size, start = F.lit(placed.tolist()), F.lit(sizes or [0]), F.lit(starts or [0])
 
     def score(y: Column) -> Column:
-        fired = F.transform("features", lambda v, i: F.coalesce(F.try_element_at(weights, F.concat_ws(":", i.cast("string"), v.cast("string"), y.cast("string"))), F.lit(0.0)))
-        return F.aggregate(fired, F.lit(float(len(names))), lambda a, x: a + x)
+        held = lambda v, i: F.when((v >= 0) & (v < F.get(size, i)), F.get(weights, (y - 1) * stride + F.get(start, i) + v))
+        fired = F.transform("features", lambda v, i: F.coalesce(held(v, i), F.lit(0.0)))
+        return F.aggregate(fired, F.lit(float(len(model.weights))), lambda a, x: a + x)
 
     each = F.transform(F.sequence(F.lit(1), F.lit(model.labels)), lambda y: F.struct(score(y).alias("s"), (-y).alias("y")))
     return rows.withColumn("predicted", -F.array_max(each)["y"])

@@ -1,8 +1,10 @@
 """Work that is done once: marks looked at, passes over rows, weights found by their place, batches in files of their own."""
 
 import numpy as np
+import pytest
 
 from agorascope.functions import sentences as N
+from agorascope.operators import maxent
 
 
 def test_only_marks_are_looked_at(monkeypatch):
@@ -23,3 +25,14 @@ def test_same_cuts_as_sign_by_sign(monkeypatch):
 
     monkeypatch.setattr(N, "MARK", Every())
     assert got == [N.split_sentences(t) for t in texts]
+
+
+def test_weights_by_place(spark):
+    """Also of positions without weights, and of values that are negative, null or never seen."""
+    model = maxent.MaxEnt({(0, 0, 1): 0.5, (0, 2, 2): 1.5, (2, 1, 1): -0.7, (2, 1, 2): 0.3, (2, 0, 3): 2.0}, 3)
+    vectors = [[0, 5, 1], [2, 0, 1], [1, 1, 0], [-1, -1, -1], [9, 9, 9], [0, 0, 0, 7], [2], []]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*vectors, [None, 0, 1]])], "id int, features array<int>")
+    got = {r["id"]: r["predicted"] for r in maxent.classify(rows, model).collect()}
+    assert [got[i] for i in range(len(vectors))] == [model.classify(v) for v in vectors] and got[len(vectors)] == 2
+    with pytest.raises(ValueError, match="places"):
+        maxent.classify(rows, model, most=8)
