@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from agorascope.functions import sentences as N
-from agorascope.operators import maxent
+from agorascope.operators import bilinear, maxent
 
 
 def test_only_marks_are_looked_at(monkeypatch):
@@ -27,6 +27,24 @@ def test_same_cuts_as_sign_by_sign(monkeypatch):
     assert got == [N.split_sentences(t) for t in texts]
 
 
+def test_few_unknowns_take_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, e = rng.normal(size=(60, 3)), rng.normal(size=(60, 2))
+    rows = spark.createDataFrame([(a.tolist(), b.tolist(), float(a.sum() * b[0])) for a, b in zip(x, e)], "x array<double>, e array<double>, y double")
+    passes, summed = [], bilinear._summed
+    monkeypatch.setattr(bilinear, "_summed", lambda *a: passes.append(1) or summed(*a))
+    one = bilinear.fit(rows, 3, 2)
+    assert len(passes) == 1
+    monkeypatch.setattr(bilinear, "GRAM", 0)
+    many = bilinear.fit(rows, 3, 2)
+    assert len(passes) > 3 and np.allclose(one.weights, many.weights, atol=1e-7)
+
+
+def test_shares(spark):
+    rows = spark.createDataFrame([(1, [0, 2, 2, 0]), (2, []), (3, [1])], "id int, x array<int>").repartition(2)
+    assert {r["id"]: r["x"] for r in bilinear.shares(rows, "x", 3).collect()} == {1: [0.5, 0.0, 0.5], 2: [0.0, 0.0, 0.0], 3: [0.0, 1.0, 0.0]}
+
+
 def test_weights_by_place(spark):
     """Also of positions without weights, and of values that are negative, null or never seen."""
     model = maxent.MaxEnt({(0, 0, 1): 0.5, (0, 2, 2): 1.5, (2, 1, 1): -0.7, (2, 1, 2): 0.3, (2, 0, 3): 2.0}, 3)
