@@ -1,4 +1,4 @@
-"""Work that is done once: marks looked at, passes over rows, weights found by their place, batches in files of their own."""
+"""Work that is done once: marks looked at, passes over rows, and weights found by their place."""
 
 import numpy as np
 import pytest
