@@ -59,18 +59,32 @@ class Shape:
         return flat
 
 
-def arrays(shape: Shape, words: list, entities: list, gold: list) -> tuple[np.ndarray, ...]:
+def arrays(shape: Shape, words: list | pa.Array, entities: list | pa.Array, gold: list | pa.Array) -> tuple[np.ndarray, ...]:
     """Cases as (counts of words of each sentence, explicit entities, gold); a case's last sentence is the last row."""
     n, s = len(words), shape.memory
     bags, marks, want = np.zeros((n, s, shape.words)), np.zeros((n, s, shape.entities)), np.zeros((n, shape.entities))
-    for i, (w, e, g) in enumerate(zip(words, entities, gold)):
-        for k, (own, named) in enumerate(zip(w[-s:], e[-s:]), s - min(s, len(w))):
-            np.add.at(bags[i, k], own, 1)
-            marks[i, k, named] = 1
-        want[i, g] = 1
+    sentences = pa.list_(pa.list_(pa.int32()))
+    words, entities = _column(words, sentences), _column(entities, sentences)
+    many = np.asarray(words.value_lengths(), np.int64), np.asarray(entities.value_lengths(), np.int64)
+    both, first = np.minimum(np.minimum(*many), s), s - np.minimum(many[0], s)
+    for of, lists, count in ((bags, words, many[0]), (marks, entities, many[1])):
+        case = np.repeat(np.arange(n), count)
+        k = np.arange(len(case)) - np.repeat(np.cumsum(count) - np.minimum(count, s), count)  # from the first that is held
+        row = np.where((k >= 0) & (k < both[case]), case * s + first[case] + k, -1)
+        own = lists.flatten()
+        row = np.repeat(row, np.asarray(own.value_lengths(), np.int64))
+        at = row * of.shape[2] + np.asarray(own.flatten(), np.int64)
+        np.add.at(of.reshape(-1), at[row >= 0], 1)
+    np.minimum(marks, 1, out=marks)
+    gold = _column(gold, pa.list_(pa.int32()))
+    want[np.repeat(np.arange(n), np.asarray(gold.value_lengths(), np.int64)), np.asarray(gold.flatten(), np.int64)] = 1
     return bags, marks, want
 
 
+def _column(values: list | pa.Array | pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
+    return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def passed(shape: Shape, flat: np.ndarray, bags: np.ndarray, marks: np.ndarray, want: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
     """The target's memory row of each case, and the gradient of the summed squared error."""
     p = shape.views(flat)
@@ -105,20 +119,26 @@ def passed(shape: Shape, flat: np.ndarray, bags: np.ndarray, marks: np.ndarray,
     return rows[:, -1], gradient
 
 
-def gradients(rows: DataFrame, shape: Shape, flat: np.ndarray, shards: int, slice_: int = 256) -> tuple[np.ndarray, float, int]:
-    """The summed gradient and squared error over the rows, and their number."""
+def _of_shard(shape: Shape, flat: np.ndarray, learn: bool = True, slice_: int = 256):
+    """Of a shard's rows the summed gradient, if they are learned from, the squared error, and their number."""
 
     def of_shard(task: pa.Table) -> np.ndarray:
-        total, loss = np.zeros(shape.size()), 0.0
+        total, loss = np.zeros(shape.size() if learn else 0), 0.0
         for at in range(0, len(task), slice_):
             part = task.slice(at, slice_)
-            bags, marks, want = arrays(shape, *(part[c].to_pylist() for c in ("words", "entities", "gold")))
-            found, gradient = passed(shape, flat, bags, marks, want)
-            total += gradient
+            bags, marks, want = arrays(shape, *(part[c] for c in ("words", "entities", "gold")))
+            found, gradient = passed(shape, flat, bags, marks, want if learn else None)
+            if learn:
+                total += gradient
             loss += float(np.square(found - want).sum())
         return np.concatenate([total, [loss, len(task)]])
 
-    whole = summed(rows, of_shard, shape.size() + 2, shards)
+    return of_shard
+
+
+def gradients(rows: DataFrame, shape: Shape, flat: np.ndarray, shards: int, slice_: int = 256) -> tuple[np.ndarray, float, int]:
+    """The summed gradient and squared error over the rows, and their number."""
+    whole = summed(rows, _of_shard(shape, flat, slice_=slice_), shape.size() + 2, shards)
     return whole[:-2], float(whole[-2]), int(whole[-1])
 
 
@@ -158,22 +178,23 @@ def train(
     spark = cases.sparkSession
     if shape.size() > most:
         raise ValueError(f"more than {most} parameters to send to every task")
-    rows, others = dealt(cases, batch, shards), dealt(held, batch, shards)
-    n = rows.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+    rows, others = (descent.Batches(c.select("case", "words", "entities", "gold"), "case", batch, shards) for c in (cases, held))
     run = (latest(spark, path) if path else None) or Run(shape, shape.start(seed), rate)
-    while run.epoch < epochs and run.rate >= least_rate and n:
+    while run.epoch < epochs and run.rate >= least_rate and rows.n:
         loss = count = 0.0
-        for k in range(n):
-            gradient, part, size = gradients(rows.where(F.col("batch") == k), shape, run.flat, shards)
-            run.step(gradient / size, most_norm)
-            loss, count = loss + part, count + size
-        _, part, size = gradients(others, shape, run.flat, shards)
+        for k in range(rows.n):
+            whole = rows.summed(k, _of_shard(shape, run.flat), shape.size() + 2)
+            run.step(whole[:-2] / int(whole[-1]), most_norm)
+            loss, count = loss + float(whole[-2]), count + int(whole[-1])
+        part, size = map(float, others.total(_of_shard(shape, run.flat, learn=False), 2))
         run.losses.append((loss / count, part / max(1, size)))
         if len(run.losses) > 1 and run.losses[-1][1] > run.losses[-2][1] * 0.9999:
             run.rate /= 1.5
         run.epoch += 1
         if path:
             saved(spark, run, path)
+    rows.close()
+    others.close()
     return run
 
 
@@ -185,7 +206,7 @@ def answers(cases: DataFrame, run: Run, slice_: int = 256) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, slice_):
                 part = batch.slice(at, slice_)
-                bags, marks, _ = arrays(shape, *(part.column(k).to_pylist() for k in (1, 2, 3)))
+                bags, marks, _ = arrays(shape, *(part.column(k) for k in (1, 2, 3)))
                 found = passed(shape, flat, bags, marks, None)[0]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([np.nonzero(row >= 0.5)[0].tolist() for row in found], pa.list_(pa.int32()))], ["case", "gold", "answer"])
 
