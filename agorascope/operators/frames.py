@@ -255,10 +255,17 @@ def lowest_clauses(nodes: DataFrame, entity: str, clause: str = "S", id: str = "
     """(id, node, text): of each tree the clauses nearest above a leaf that holds the entity, but those that have such a
     clause below them; a clause's text is that of its leaves in order. nodes: as ``trees`` gives them. A tree is one
     sentence, so its nodes are gathered as one row and passed through once, however deep it is."""
+    whole = nodes.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("node", "parent", "type", "text"))).alias("_tree"))
+    return clauses_within(whole, "_tree", entity, clause, id)
+
+
+def clauses_within(rows: DataFrame, tree: str, entity: str, clause: str = "S", id: str = "id") -> DataFrame:
+    """The same of rows with trees, as arrays of (node, parent, type, text) in the nodes' order. Trees without a leaf that holds the
+    entity have no such clause, and leave before Python."""
 
     @F.pandas_udf("array<struct<node:int,text:string>>")
     def found(trees: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("node", "text"), c)) for c in clauses_of([tuple(n[x] for x in ("node", "parent", "type", "text")) for n in tree], entity, clause)] for tree in trees])
 
-    whole = nodes.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("node", "parent", "type", "text"))).alias("_tree"))
-    return whole.select(id, F.explode(found("_tree")).alias("_c")).select(id, "_c.*")
+    held = rows.where(F.exists(tree, lambda n: F.contains(n["text"], F.lit(entity))))
+    return held.select(id, F.explode(found(tree)).alias("_c")).select(id, "_c.*")
