@@ -33,6 +33,13 @@ def test_ties_go_to_the_shorter_left_part():
     assert chart.trees([("a",) * 400])[0][0] == -399 * 5 - 400
 
 
+def test_grammars_of_many_symbols():
+    """More symbols and rules than two bytes number; those that don't occur cost no charts."""
+    more = [(f"X{k}", f"X{k + 1}", f"Y{k % 300}", -1) for k in range(20_000)] + [(f"Z{k}", "N", None, -9_000) for k in range(300)]
+    tags = [("N", "V"), ("N", "J", "V", "E")]
+    assert grammar.Grammar(RULES + more).trees(tags) == grammar.Grammar(RULES).trees(tags)
+
+
 def test_clauses_without_a_shuffled_node(spark, monkeypatch):
     words = F.transform(F.filter(F.split("text", " "), lambda x: x != ""), lambda t: F.struct(F.concat(F.lit("the"), t).alias("word"), t.alias("pos")))
     rows = spark.createDataFrame([*NAMED, (6, None)], "id int, text string").withColumn("tagged", words)
